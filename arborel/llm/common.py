@@ -98,3 +98,18 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = _starred(edges)
     return down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+#: Bits of the membership bitmap: 4,096 rows of 4 KB, so at most 16 MB are ever broadcast.
+BITMAP_BITS = 1 << 27
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose long `key` may be in wanted.`key`: all that are, and few others as long as the wanted keys are fewer than
+    BITMAP_BITS. A bitmap of fixed size is broadcast, so wide rows that nobody wants are dropped before any shuffle; an exact join follows."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
+    bits = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    keyed = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_at", F.bitmap_bit_position("_p").cast("int"))
+    met = keyed.join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) > 0).select(*rows.columns)

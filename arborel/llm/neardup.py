@@ -1,8 +1,8 @@
 """Classes of similar sets: banding, candidate clusters, verified links, components. Used by documents and by lines.
 
 The input is a table of sketches, one row an item: `digest` (binary, of the item's set; null for an empty set), `bands`
-(array<bigint>, keys of the item's signature), `sig` (uint16 registers, 0 where empty), `n` (set size) and `payload` (what
-`decode` turns into the sorted uint64 array of the set).
+(array<bigint>, keys of the item's signature) and `place` (a long by which the item's row is found again). Sets are not kept: `fetch` makes those of
+candidates anew from their rows.
 
 1. Items of equal digest are one node. 2. Nodes that share a band key fall into one candidate cluster (components over
 node-to-smallest-node links, so a band of any size gives one link a member). 3. Each cluster is searched for verified links by
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import attach, components, discard, stored
 
 #: Most nodes of a cluster in one block, and anchors that a block is given besides.
-BLOCK, ANCHORS = 1000, 8
+BLOCK, ANCHORS = 500, 8
 #: Standard deviations that the estimate may lie below the threshold before a pair is dropped unverified.
 SLACK = 5.0
 
@@ -110,35 +110,35 @@ def search(regs, sizes, sets, threshold: float, mantissa: int, label=None) -> li
     return links
 
 
-def searched(decode, threshold: float, mantissa: int, labelled: bool):
+def searched(bits: int, mantissa: int, threshold: float, labelled: bool):
+    """Search of one block: its rows are (node, payload), payload the sorted uint64 array of the set."""
+
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+        _, keep = np.unique(group["node"].to_numpy(), return_index=True)
+        group = group.take(pa.array(keep))
         nodes = group["node"].to_numpy()
-        _, keep = np.unique(nodes, return_index=True)
-        order = keep[np.argsort(nodes[keep])]
-        group, nodes = group.take(pa.array(order)), nodes[order]
-        regs = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(len(nodes), -1)
-        sets = [decode(x) for x in group["payload"].to_pylist()]
-        label = (group["comp"].to_numpy().copy(), group["query"].to_numpy(zero_copy_only=False)) if labelled else None
-        links = search(regs, group["n"].to_numpy(), sets, threshold, mantissa, label)
+        sets = [np.frombuffer(x, np.uint64) for x in group["payload"].to_pylist()]
+        regs = np.array([registers(x, bits, mantissa) for x in sets])
+        label = (group["comp"].to_numpy().copy(), group["query"].to_numpy()) if labelled else None
+        links = search(regs, np.array([len(x) for x in sets]), sets, threshold, mantissa, label)
         return pa.table({"a": pa.array([int(nodes[i]) for i, _ in links], pa.int64()), "b": pa.array([int(nodes[j]) for _, j in links], pa.int64())})
 
     return run
 
 
-def classes(sketches: DataFrame, decode, threshold: float, mantissa: int) -> DataFrame:
+def classes(sketches: DataFrame, fetch, threshold: float, bits: int, mantissa: int) -> DataFrame:
     """(digest, node, comp, copies): for each distinct set its node, the smallest node of its class, and its number of items.
-    sketches is a stored table with a unique long `rid`; a node is the smallest rid of its digest."""
+    sketches is a stored table with a unique long `rid`; a node is the smallest rid of its digest. fetch takes (place, digest, node) of candidates
+    and returns (node, payload)."""
     some = sketches.where("digest is not null")
     groups = stored(some.groupBy("digest").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies")))
-    firsts = some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "n", "sig", "payload")
-
     banded = some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
     shared = stored(banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "least"))
     near = stored(banded.join(shared, "band").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
     clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
 
-    members = stored(clusters.join(firsts, "node").select("cluster", "node", "n", "sig", "payload"))
+    wanted = some.select(F.col("rid").alias("node"), "place", "digest").join(clusters.select("node"), "node", "left_semi")
+    members = stored(fetch(stored(wanted)).join(clusters, "node").select("cluster", "node", "payload"))
     sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
     placed = attach(members, sizes, "cluster", "node", "inner").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -146,9 +146,9 @@ def classes(sketches: DataFrame, decode, threshold: float, mantissa: int) -> Dat
     many = clusters.join(sizes.where(F.col("m") > BLOCK), "cluster").select("cluster", "m", F.struct(F.xxhash64("node").alias("h"), "node").alias("x"))
     picked = many.withColumn("s", F.pmod(F.col("x.h"), F.lit(ANCHORS))).groupBy("cluster", "s", "m").agg(F.min("x").alias("x"))
     anchors = picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("block"))
-    columns = ["cluster", "block", "node", "n", "sig", "payload"]
+    columns = ["cluster", "block", "node", "payload"]
     dealt = placed.select(columns).union(members.join(anchors, ["cluster", "node"]).select(columns))
-    links = stored(dealt.groupBy("cluster", "block").applyInArrow(searched(decode, threshold, mantissa, False), "a bigint, b bigint"))
+    links = stored(dealt.groupBy("cluster", "block").applyInArrow(searched(bits, mantissa, threshold, False), "a bigint, b bigint"))
     known = stored(components(links))
 
     # clusters of several blocks: what lies outside the largest class against all
@@ -165,7 +165,7 @@ def classes(sketches: DataFrame, decode, threshold: float, mantissa: int) -> Dat
         asking = open_.where("query").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         both = asking.unionByName(against).groupBy("cluster", "block", "part", "node", "comp").agg(F.max("query").alias("query"))
         full = both.join(members.drop("cluster"), "node")
-        more = full.groupBy("cluster", "block", "part").applyInArrow(searched(decode, threshold, mantissa, True), "a bigint, b bigint")
+        more = full.groupBy("cluster", "block", "part").applyInArrow(searched(bits, mantissa, threshold, True), "a bigint, b bigint")
         links = stored(links.union(more))
         known = stored(components(links))
     discard(members)
