@@ -5,7 +5,8 @@ either word (spans up to SPAN), and normalised by length; inserted or separated
 that set toxic training documents apart from clean ones (besides some plain ones) span the Nystrom space, in which a linear machine is trained on
 labelled bags of words: in each toxic document the highest-scoring word is its witness, clean documents give hard negatives (MI-SVM). As the
 kernel is a sum over triples, the trained machine folds into one weight for each triple of landmark letters, so scoring a word takes a lookup for each
-of its triples. A document's margin is that of its worst word; Platt scaling on the training documents turns it into a score.
+of its triples. A document's profile (the margins of its worst words, how many are above nought, how many words there are) becomes a score by
+logistic scaling on the training documents, as words that are rare but clean turn up by chance in long texts.
 
 At most SAMPLE labelled rows of each class, chosen by a hash of the id, are used for training; scoring covers every word of every text. Runs of
 single letters are read as one word. Null, empty or white texts get the score of a margin of no word. Labels without a document and
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import table
 
-DECAY, SPAN, LANDMARKS, PLAIN = 0.75, 8, 64, 16
+DECAY, SPAN, LANDMARKS, PLAIN = 0.75, 8, 128, 48
 #: Labelled rows of each class used for training, at most.
 SAMPLE = 2500
-ROUNDS, SEED, CUT = 4, 11, 0.3
+ROUNDS, SEED, CUT, LIFT, LEAST_Z, WORST = 3, 11, 0.3, 5.0, 2.5, 5
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 400_000
 STEPS = np.array([(0, j, k) for k in range(2, SPAN) for j in range(1, k)])
@@ -45,7 +46,8 @@ def words_of(text: str | None) -> set[str]:
 
 
 def bare(word: str) -> str:
-    return word if word.isalpha() else word.strip("\"'.,;:!?()[]{}<>|%&$*#-_~/\\`+=") or word
+    """The word without marks at its ends, after a sign for its beginning."""
+    return "^" + (word if word.isalpha() else word.strip("\"'.,;:!?()[]{}<>|%&$*#-_~/\\`+=") or word)
 
 
 class Kernel:
@@ -89,107 +91,135 @@ class Kernel:
         return out
 
 
-def chosen_landmarks(bags: list[set[str]], labels: np.ndarray, rng) -> list[str]:
-    """Words whose document rates differ most between the classes (one of those that share their first four letters at most six times), and plain ones."""
+def telling(bags: list[set[str]], labels: np.ndarray) -> dict[str, float]:
+    """Words at least LIFT times as common in toxic documents as in clean ones, with the z value of the difference."""
     toxic, clean = Counter(), Counter()
     for bag, y in zip(bags, labels):
         (toxic if y else clean).update(bag)
     t, c = labels.sum() or 1, (1 - labels).sum() or 1
-    z = {w: (n / t - clean[w] / c) / np.sqrt((n / t + clean[w] / c) / min(t, c) + 1e-9) for w, n in toxic.items() if len(w) >= 3}
+    return {w: (n / t - clean[w] / c) / np.sqrt((n / t + clean[w] / c) / min(t, c) + 1e-9) for w, n in toxic.items() if len(w) >= 4 and n / t >= LIFT * clean[w] / c}
+
+
+def chosen_landmarks(z: dict[str, float], plain: list[str], rng) -> list[str]:
+    """The most telling words (of those that share their first five signs, six at most), and plain ones."""
     picked, heads = [], Counter()
-    for w in sorted(z, key=lambda w: (-z[w], w)):
+    for w in sorted((w for w in z if z[w] >= LEAST_Z), key=lambda w: (-z[w], w)):
         if len(picked) >= LANDMARKS - PLAIN:
             break
-        if heads[w[:4]] < 6:
-            heads[w[:4]] += 1
+        if heads[w[:5]] < 6:
+            heads[w[:5]] += 1
             picked.append(w)
-    plain = sorted(w for w in clean if len(w) >= 3 and w not in picked)
-    return picked + list(rng.permutation(plain)[: PLAIN])
+    return picked + [str(w) for w in rng.permutation([w for w in plain if len(w) >= 4 and w not in picked])[:PLAIN]]
 
 
-def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-4, steps: int = 400) -> np.ndarray:
-    """Linear machine with squared hinge loss by accelerated gradient descent; the last column is the offset's."""
+def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 2e-4, steps: int = 30) -> np.ndarray:
+    """Linear machine with squared hinge loss by Newton steps over the rows inside the margin; the last coefficient is the offset."""
     x = np.c_[x, np.ones(len(x))]
     sign = 2.0 * y - 1
-    lip = 2 * np.linalg.norm((x * weight[:, None]).T @ x, 2) + strength
-    v = u = np.zeros(x.shape[1])
-    for k in range(steps):
-        slack = np.maximum(0, 1 - sign * (x @ u))
-        new = u - (strength * u - 2 * x.T @ (weight * sign * slack)) / lip
-        u, v = new + k / (k + 3) * (new - v), new
+    v = np.zeros(x.shape[1])
+    ridge = strength * np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(steps):
+        inside = sign * (x @ v) < 1
+        a = x[inside] * weight[inside, None]
+        new = np.linalg.solve(a.T @ x[inside] + ridge, a.T @ sign[inside])
+        done = np.abs(new - v).max() < 1e-6
+        v = v + 0.7 * (new - v) if not done else new
+        if done:
+            break
     return v
 
 
-def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through margins, with Platt's smoothed targets (Newton steps)."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Coefficients, the last an offset, towards Platt's smoothed targets (Newton steps with a little shrinkage)."""
     pos, neg = y.sum(), (1 - y).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
+    x = np.c_[x, np.ones(len(x))]
+    ridge = np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
+    v = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - t) * margin).sum() + 1e-3 * a, (p - t).sum()])
-        w = p * (1 - p) + 1e-9
-        h = np.array([[(w * margin**2).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum()]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
-    return float(max(a, 1e-3)), float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (p - t) + ridge @ v)
+        v = v - move * min(1.0, 3.0 / (np.abs(move).max() + 1e-9))
+    return v
 
 
 class Model:
-    def __init__(self, kernel, table_, offset, slope, shift, rate=None):
-        self.kernel, self.table, self.offset, self.slope, self.shift, self.rate = kernel, table_, offset, slope, shift, rate
+    def __init__(self, kernel, table_, offset, rate=None):
+        self.kernel, self.table, self.offset, self.rate = kernel, table_, offset, rate
         self.known: dict[str, float] = {}
+        self.mean = self.scale = self.slopes = None
 
     def words(self, words: list[str]) -> np.ndarray:
-        return self.kernel.against([bare(w) for w in words], self.table[None])[:, 0] + self.offset
+        return self.kernel.against(words, self.table[None])[:, 0] + self.offset
 
-    def margins(self, bags: list[set[str]]) -> np.ndarray:
+    def profiles(self, bags: list[set[str]]) -> np.ndarray:
+        """For each bag: its WORST largest margins, and the logarithms of one plus the numbers of words above nought and of words."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*bags).difference(self.known)) if bags else []
-        self.known.update(zip(new, self.words(new).tolist()))
-        return np.array([max(map(self.known.__getitem__, bag), default=self.offset) for bag in bags])
+        self.known.update(zip(new, self.words([bare(w) for w in new]).tolist()))
+        out = np.full((len(bags), WORST + 2), self.offset)
+        for row, bag in zip(out, bags):
+            f = np.fromiter(map(self.known.__getitem__, bag), float, len(bag))
+            top = -np.sort(np.partition(-f, WORST)[:WORST]) if len(f) > WORST else np.sort(f)[::-1]
+            row[: len(top)] = top
+            row[WORST:] = np.log1p((f > 0).sum()), np.log1p(len(f))
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.rate is not None:
             return np.full(len(texts), self.rate)
-        m = self.margins([words_of(t) for t in texts])
-        return 1 / (1 + np.exp(-np.clip(self.slope * m + self.shift, -30, 30)))
+        x = (self.profiles([words_of(t) for t in texts]) - self.mean) / self.scale
+        return 1 / (1 + np.exp(-np.clip(x @ self.slopes[:-1] + self.slopes[-1], -30, 30)))
 
 
 def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Model:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model(None, None, 0.0, 1.0, 0.0, float((y.sum() + 1) / (len(y) + 2)))
+        return Model(None, None, 0.0, float((y.sum() + 1) / (len(y) + 2)))
     rng = np.random.default_rng(seed)
     raw = [words_of(t) for t in texts]
     bags = [{bare(w) for w in bag} for bag in raw]
-    landmarks = chosen_landmarks(bags, y, rng)
-    kernel = Kernel(landmarks)
-    features = kernel.dense(landmarks)
-    values, vectors = np.linalg.eigh((features @ features.T).astype(np.float64))
-    root = vectors / np.sqrt(np.maximum(values, 1e-3))  # Nystrom: kernel values with the landmarks times this
-    toxic = [b for b, t in zip(bags, y) if t and b]
     negatives = sorted(set().union(*(b for b, t in zip(bags, y) if not t)))
-    first = dict(zip(landmarks, range(len(landmarks))))
-    witness = [min(b, key=lambda w: (first.get(w, 1 << 30), w)) for b in toxic]
-    witness = [w for w in witness if first.get(w, 1 << 30) < LANDMARKS - PLAIN] or witness
+    z = telling(bags, y)
+    landmarks = chosen_landmarks(z, negatives, rng)
+    marks = sum(z.get(w, 0) >= LEAST_Z for w in landmarks)
+    first = dict(zip(landmarks[:marks], range(marks)))
+    # a toxic document without a telling word says nothing about words: labels may be wrong
+    likely = {w for w in z if z[w] >= 0.6 * LEAST_Z}
+    toxic = [ws for b, t in zip(bags, y) if t and (ws := sorted(b & likely))]
+    clean = [sorted(b) for b, t in zip(bags, y) if not t and b]
+    witness = [w for ws in toxic for w in [min(ws, key=lambda w: (first.get(w, LANDMARKS), w))] if w in first] or list(first)
+    if not witness:
+        return Model(None, None, 0.0, float((y.sum() + 1) / (len(y) + 2)))
     hard: list[str] = []
-    model = None
     for _ in range(ROUNDS):
-        positive = sorted(set(witness))
-        negative = sorted({*rng.permutation(negatives)[:4000].tolist(), *hard} - set(positive)) if negatives else []
-        x = kernel.against(positive + negative, features).astype(np.float64) @ root
-        label = np.r_[np.ones(len(positive)), np.zeros(len(negative))]
-        v = hinge(x, label, np.where(label > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative))))
+        kernel = Kernel(landmarks)
+        features = kernel.dense(landmarks)
+        values, vectors = np.linalg.eigh((features @ features.T).astype(np.float64))
+        root = vectors / np.sqrt(np.maximum(values, 1e-4))  # Nystrom: kernel values with the landmarks times this
+        positive = sorted({*witness, *first})
+        some = sorted({*(rng.permutation(negatives)[:2000].tolist() if negatives else [])} - {*positive, *hard})
+        near = sorted(set(hard) - set(positive))
+        x = kernel.against(positive + some + near, features).astype(np.float64) @ root
+        label = np.r_[np.ones(len(positive)), np.zeros(len(some) + len(near))]
+        shares = (1.0 / max(1, len(positive)), 0.5 / max(1, len(some)), 1.0 / max(1, len(near)))
+        v = hinge(x, label, np.repeat(shares, (len(positive), len(some), len(near))))
         folded = ((root @ v[:-1]) @ features).astype(np.float32)
-        model = Model(kernel, folded, float(v[-1]), 1.0, 0.0)
+        model = Model(kernel, folded, float(v[-1]))
         if negatives:
-            f = model.words(negatives)
-            hard = [negatives[i] for i in np.argsort(-f)[:2000]]
-        scored = [(max((float(s), w) for s, w in zip(model.words(ws), ws))) for b in toxic for ws in [sorted(b)]]
-        witness = [w for s, w in scored if s > 0] or [w for _, w in scored]
-    model.slope, model.shift = platt(model.margins(raw), y)
+            order = np.argsort(-model.words(negatives), kind="stable")
+            hard = list(dict.fromkeys(hard + [negatives[i] for i in order[:600]]))
+            # the landmarks that stand for clean words are those hardest to tell
+            landmarks = landmarks[:marks] + [negatives[i] for i in order if negatives[i] not in first and len(negatives[i]) >= 4][:PLAIN]
+        # a word is a witness if it scores above what all but a fiftieth of clean documents reach
+        known = dict(zip(negatives, model.words(negatives).tolist()))
+        bar = max(0.0, float(np.quantile([max(map(known.__getitem__, ws)) for ws in clean], 0.98))) if clean else 0.0
+        scored = [max((float(s), w) for s, w in zip(model.words(ws), ws)) for ws in toxic]
+        witness = [w for s, w in scored if s > bar] or witness
+    profiles = model.profiles(raw)
+    model.mean, model.scale = profiles.mean(axis=0), profiles.std(axis=0) + 1e-6
+    model.slopes = logistic((profiles - model.mean) / model.scale, y)
     model.known = {}
     return model
 
