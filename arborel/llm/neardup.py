@@ -1,14 +1,14 @@
 """Classes of similar sets: banding, candidate clusters, verified links, components. Used by documents and by lines.
 
 The input is a table of sketches, one row an item: `digest` (binary, of the item's set; null for an empty set), `bands`
-(array<bigint>, keys of the item's signature) and `place` (a long by which the item's row is found again). Sets are not kept: `fetch` makes those of
+(array<bigint>, keys of the item's signature), `n` (set size), `sig` (its registers) and `place` (a long by which the item's row is found again). Sets are not kept: `fetch` makes those of
 candidates anew from their rows.
 
-1. Items of equal digest are one node. 2. Nodes that share a band key fall into one candidate cluster (components over
-node-to-smallest-node links, so a band of any size gives one link a member). 3. Each cluster is searched for verified links by
-breadth-first search over blocks of at most BLOCK nodes plus a few anchors. 4. Nodes of a cluster that are still outside its
-largest class are compared, in blocks, with all the cluster's nodes of other classes. So no pair of a cluster goes unexamined unless
-both its ends are already connected, and no task holds more than two blocks."""
+1. Items of equal digest are one node. 2. Nodes that share a band key are compared by the estimate from their registers; nodes linked so make
+candidate clusters. (Of a band key of over BUCKET nodes all nodes fall into one cluster, without pairs.) 3. Each cluster is searched for
+verified links by breadth-first search over blocks of at most BLOCK nodes plus a few anchors. 4. Nodes of a cluster of several blocks that are
+still outside its largest class are compared, in blocks, with all the cluster's nodes of other classes. So no pair of a cluster goes unexamined
+unless both its ends are already connected, and no task holds more than one bucket or two blocks."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ from .common import attach, components, discard, stored
 
 #: Most nodes of a cluster in one block, and anchors that a block is given besides.
 BLOCK, ANCHORS = 500, 8
+#: Most nodes of a band key that are compared in one task.
+BUCKET = 2000
 #: Standard deviations that the estimate may lie below the threshold before a pair is dropped unverified.
 SLACK = 5.0
 
@@ -65,7 +67,8 @@ def likely(regs: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, thre
     """Those of `others` whose collision-corrected estimate of the Jaccard similarity with i doesn't rule `threshold` out.
 
     Registers of unequal minima agree by chance in about one of 2 ** mantissa of the buckets that both fill with equal leading-zero
-    counts (a third of them); the estimate takes this from the share of agreeing buckets."""
+    counts (a third of them); the estimate takes this from the share of agreeing buckets. The filled buckets sample the union without
+    repeats, so the error vanishes for sets that are small beside the number of buckets."""
     small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
     others = others[small >= threshold * large - 1e-9]  # the sizes alone rule the others out
     if not len(others):
@@ -75,7 +78,9 @@ def likely(regs: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, thre
     agree = ((a == b) & (a > 0)).sum(axis=1) / filled
     chance = 2.0**-mantissa / 3
     estimate = (agree - chance) / (1 - chance)
-    return others[estimate >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / filled) - 1e-9]
+    union = np.maximum((sizes[others] + sizes[i]) / (1 + threshold), filled)
+    error = np.sqrt(threshold * (1 - threshold) / filled * (1 - filled / union))
+    return others[estimate >= threshold - SLACK * error - 1.5 / filled]
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -110,6 +115,50 @@ def search(regs, sizes, sets, threshold: float, mantissa: int, label=None) -> li
     return links
 
 
+def spanned(regs, sizes, threshold: float, mantissa: int) -> list[tuple[int, int]]:
+    """Links by the estimate alone that connect what it connects."""
+    links, left = [], np.arange(len(sizes))
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            i = front.pop()
+            hit = likely(regs, sizes, i, left, threshold, mantissa)
+            links += [(i, int(j)) for j in hit]
+            front += hit.tolist()
+            left = np.setdiff1d(left, hit, assume_unique=True)
+    return links
+
+
+def bucketed(threshold: float, mantissa: int):
+    """Links within each band key; rows (band, node, n, sig) come sorted by band, and a key's rows may run over several batches."""
+
+    def linked(band, nodes, sizes, sigs):
+        out = []
+        edges = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a > 1:
+                regs = np.frombuffer(b"".join(sigs[a:b]), np.uint16).reshape(b - a, -1)
+                out += [(nodes[a + i], nodes[a + j]) for i, j in spanned(regs, sizes[a:b], threshold, mantissa)]
+        return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            band = rows["band"].to_numpy()
+            cut = int(np.searchsorted(band, band[-1]))  # the last key may go on
+            if cut:
+                done = rows.slice(0, cut)
+                yield linked(band[:cut], done["node"].to_numpy(), done["n"].to_numpy(), done["sig"].to_pylist())
+            rest = rows.slice(cut)
+        if rest is not None:
+            yield linked(rest["band"].to_numpy(), rest["node"].to_numpy(), rest["n"].to_numpy(), rest["sig"].to_pylist())
+
+    return run
+
+
 def searched(bits: int, mantissa: int, threshold: float, labelled: bool):
     """Search of one block: its rows are (node, payload), payload the sorted uint64 array of the set."""
 
@@ -132,12 +181,18 @@ def classes(sketches: DataFrame, fetch, threshold: float, bits: int, mantissa: i
     and returns (node, payload)."""
     some = sketches.where("digest is not null")
     groups = stored(some.groupBy("digest").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies")))
-    banded = some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
-    shared = stored(banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "least"))
-    near = stored(banded.join(shared, "band").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
+    firsts = stored(some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "place", "digest", "n", "sig", "bands"))
+    banded = firsts.select("node", F.explode("bands").alias("band"))
+    shared = stored(banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    met = stored(banded.join(shared, "band").select("band", "node", "least", "m"))
+    whole = met.where(F.col("m") > BUCKET).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    small = met.where(F.col("m") <= BUCKET).select("band", "node").join(firsts.select("node", "n", "sig"), "node").select("band", "node", "n", "sig")
+    near = small.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed(threshold, mantissa), "a bigint, b bigint")
+    near = stored(near.union(whole))
+    discard(met)
     clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
 
-    wanted = some.select(F.col("rid").alias("node"), "place", "digest").join(clusters.select("node"), "node", "left_semi")
+    wanted = firsts.select("node", "place", "digest").join(clusters.select("node"), "node", "left_semi")
     members = stored(fetch(stored(wanted)).join(clusters, "node").select("cluster", "node", "payload"))
     sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
     placed = attach(members, sizes, "cluster", "node", "inner").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
