@@ -134,6 +134,14 @@ def mixed(docs: DataFrame, members: Column, weights=None, size: Column | None =
     return out, {s: (sizes[s], target[s]) for s in names}
 
 
+def chosen(docs: DataFrame) -> DataFrame:
+    """The documents that the mix of their sources takes, with all their columns and `taken`, the words to take of each (those of a second
+    pass included). Rows that repeat under one doc_id and size get the same number each, the largest among them."""
+    out, _ = mixed(docs, F.array("source"))
+    kept = stored(out.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("taken")))
+    return docs.drop("taken").withColumn("_n", words_in(F.col("text"))).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).drop("_id", "_size", "_n")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out, facts = mixed(docs, F.array("source"))
