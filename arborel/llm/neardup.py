@@ -1,7 +1,7 @@
 """Classes of similar sets: banding, candidate clusters, verified links, components. Used by documents and by lines.
 
-The input is a table of sketches, one row an item: `digest` (binary, of the item's set; null for an empty set), `bands`
-(array<bigint>, keys of the item's signature), `n` (set size), `sig` (its registers) and `place` (a long by which the item's row is found again). Sets are not kept: `fetch` makes those of
+The input is a table of sketches, one row an item: `digest` (binary, of the item's set or text; null for an empty one), `n` (set size, or a
+bound above it), `sig` (the registers, 16 bits each) and `place` (a long by which the item's row is found again). Sets are not kept: `fetch` makes those of
 candidates anew from their rows.
 
 1. Items of equal digest are one node. 2. Nodes that share a band key are compared by the estimate from their registers; nodes linked so make
@@ -20,6 +20,8 @@ from .common import attach, components, discard, stored
 
 #: Most nodes of a cluster in one block, and anchors that a block is given besides.
 BLOCK, ANCHORS = 500, 8
+#: Registers of a band.
+ROWS = 4
 #: Most nodes of a band key that are compared in one task.
 BUCKET = 2000
 #: Standard deviations that the estimate may lie below the threshold before a pair is dropped unverified.
@@ -53,24 +55,21 @@ def registers(hashes: np.ndarray, bits: int, mantissa: int) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray, rows: int, seed: int = 0) -> np.ndarray:
-    """One 64-bit key for each band of `rows` registers that isn't all empty."""
-    grid = regs.reshape(-1, rows).astype(np.uint64)
-    used = grid.any(axis=1)
-    h = np.arange(len(grid), dtype=np.uint64) + np.uint64(seed * 1000 + 1)
-    for j in range(rows):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + grid[:, j])
-    return h[used].view(np.int64)
+def bands(sig, count: int):
+    """Column of band keys: hashes of ROWS registers each, of bands that aren't all empty. sig: column of 2 * ROWS * count bytes or more."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.alias("i"), F.substring(sig, i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("x")))
+    return F.transform(F.filter(parts, lambda p: p["x"] != F.lit(bytes(2 * ROWS))), lambda p: F.xxhash64(p["i"], p["x"]))
 
 
-def likely(regs: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, threshold: float, mantissa: int) -> np.ndarray:
+def likely(regs: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, threshold: float, mantissa: int, exact: bool = True) -> np.ndarray:
     """Those of `others` whose collision-corrected estimate of the Jaccard similarity with i doesn't rule `threshold` out.
 
     Registers of unequal minima agree by chance in about one of 2 ** mantissa of the buckets that both fill with equal leading-zero
     counts (a third of them); the estimate takes this from the share of agreeing buckets. The filled buckets sample the union without
     repeats, so the error vanishes for sets that are small beside the number of buckets."""
     small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-    others = others[small >= threshold * large - 1e-9]  # the sizes alone rule the others out
+    if exact:
+        others = others[small >= threshold * large - 1e-9]  # the sizes alone rule the others out
     if not len(others):
         return others
     a, b = regs[i], regs[others]
@@ -115,21 +114,21 @@ def search(regs, sizes, sets, threshold: float, mantissa: int, label=None) -> li
     return links
 
 
-def spanned(regs, sizes, threshold: float, mantissa: int) -> list[tuple[int, int]]:
+def spanned(regs, sizes, threshold: float, mantissa: int, exact: bool) -> list[tuple[int, int]]:
     """Links by the estimate alone that connect what it connects."""
     links, left = [], np.arange(len(sizes))
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             i = front.pop()
-            hit = likely(regs, sizes, i, left, threshold, mantissa)
+            hit = likely(regs, sizes, i, left, threshold, mantissa, exact)
             links += [(i, int(j)) for j in hit]
             front += hit.tolist()
             left = np.setdiff1d(left, hit, assume_unique=True)
     return links
 
 
-def bucketed(threshold: float, mantissa: int):
+def bucketed(threshold: float, mantissa: int, exact: bool):
     """Links within each band key; rows (band, node, n, sig) come sorted by band, and a key's rows may run over several batches."""
 
     def linked(band, nodes, sizes, sigs):
@@ -138,7 +137,7 @@ def bucketed(threshold: float, mantissa: int):
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a > 1:
                 regs = np.frombuffer(b"".join(sigs[a:b]), np.uint16).reshape(b - a, -1)
-                out += [(nodes[a + i], nodes[a + j]) for i, j in spanned(regs, sizes[a:b], threshold, mantissa)]
+                out += [(nodes[a + i], nodes[a + j]) for i, j in spanned(regs, sizes[a:b], threshold, mantissa, exact)]
         return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], names=["a", "b"])
 
     def run(batches):
@@ -159,14 +158,14 @@ def bucketed(threshold: float, mantissa: int):
     return run
 
 
-def searched(bits: int, mantissa: int, threshold: float, labelled: bool):
-    """Search of one block: its rows are (node, payload), payload the sorted uint64 array of the set."""
+def searched(decode, bits: int, mantissa: int, threshold: float, labelled: bool):
+    """Search of one block: its rows are (node, payload); decode makes the sorted uint64 array of the set."""
 
     def run(group: pa.Table) -> pa.Table:
         _, keep = np.unique(group["node"].to_numpy(), return_index=True)
         group = group.take(pa.array(keep))
         nodes = group["node"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group["payload"].to_pylist()]
+        sets = [decode(x) for x in group["payload"].to_pylist()]
         regs = np.array([registers(x, bits, mantissa) for x in sets])
         label = (group["comp"].to_numpy().copy(), group["query"].to_numpy()) if labelled else None
         links = search(regs, np.array([len(x) for x in sets]), sets, threshold, mantissa, label)
@@ -175,19 +174,19 @@ def searched(bits: int, mantissa: int, threshold: float, labelled: bool):
     return run
 
 
-def classes(sketches: DataFrame, fetch, threshold: float, bits: int, mantissa: int) -> DataFrame:
+def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, mantissa: int, exact: bool = True) -> DataFrame:
     """(digest, node, comp, copies): for each distinct set its node, the smallest node of its class, and its number of items.
     sketches is a stored table with a unique long `rid`; a node is the smallest rid of its digest. fetch takes (place, digest, node) of candidates
-    and returns (node, payload)."""
+    and returns (node, payload), decode makes the set of a payload. exact: n is the set's size."""
     some = sketches.where("digest is not null")
     groups = stored(some.groupBy("digest").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies")))
-    firsts = stored(some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "place", "digest", "n", "sig", "bands"))
-    banded = firsts.select("node", F.explode("bands").alias("band"))
+    firsts = stored(some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "place", "digest", "n", "sig"))
+    banded = firsts.select("node", F.explode(bands(F.col("sig"), (1 << bits) // ROWS)).alias("band"))
     shared = stored(banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     met = stored(banded.join(shared, "band").select("band", "node", "least", "m"))
     whole = met.where(F.col("m") > BUCKET).select(F.col("node").alias("a"), F.col("least").alias("b"))
     small = met.where(F.col("m") <= BUCKET).select("band", "node").join(firsts.select("node", "n", "sig"), "node").select("band", "node", "n", "sig")
-    near = small.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed(threshold, mantissa), "a bigint, b bigint")
+    near = small.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed(threshold, mantissa, exact), "a bigint, b bigint")
     near = stored(near.union(whole))
     discard(met)
     clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
@@ -203,7 +202,7 @@ def classes(sketches: DataFrame, fetch, threshold: float, bits: int, mantissa: i
     anchors = picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("block"))
     columns = ["cluster", "block", "node", "payload"]
     dealt = placed.select(columns).union(members.join(anchors, ["cluster", "node"]).select(columns))
-    links = stored(dealt.groupBy("cluster", "block").applyInArrow(searched(bits, mantissa, threshold, False), "a bigint, b bigint"))
+    links = stored(dealt.groupBy("cluster", "block").applyInArrow(searched(decode, bits, mantissa, threshold, False), "a bigint, b bigint"))
     known = stored(components(links))
 
     # clusters of several blocks: what lies outside the largest class against all
@@ -220,7 +219,7 @@ def classes(sketches: DataFrame, fetch, threshold: float, bits: int, mantissa: i
         asking = open_.where("query").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         both = asking.unionByName(against).groupBy("cluster", "block", "part", "node", "comp").agg(F.max("query").alias("query"))
         full = both.join(members.drop("cluster"), "node")
-        more = full.groupBy("cluster", "block", "part").applyInArrow(searched(bits, mantissa, threshold, True), "a bigint, b bigint")
+        more = full.groupBy("cluster", "block", "part").applyInArrow(searched(decode, bits, mantissa, threshold, True), "a bigint, b bigint")
         links = stored(links.union(more))
         known = stored(components(links))
     discard(members)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: module and function of each operator's query
-NAMES = ["op1_mixing", "op2_secrets", "op3_urls", "op4_toxicity", "op5_minhash", "op6_chunks", "op8_pii", "op9_tokens", "op10_decontaminate"]
+NAMES = ["op1_mixing", "op2_secrets", "op3_urls", "op4_toxicity", "op5_minhash", "op6_chunks", "op7_lines", "op8_pii", "op9_tokens", "op10_decontaminate"]
 
 
 def pipeline(spark, sf_dir):
