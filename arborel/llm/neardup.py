@@ -182,7 +182,9 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
     groups = stored(some.groupBy("digest").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies")))
     firsts = stored(some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "place", "digest", "n", "sig"))
     banded = firsts.select("node", F.explode(bands(F.col("sig"), (1 << bits) // ROWS)).alias("band"))
-    shared = stored(banded.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    met = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
+    # similar nodes meet in many bands: of bands with the same nodes (by number, ends and hash) one is enough
+    shared = stored(met.groupBy("least", "most", "m", "x").agg(F.min("band").alias("band")).select("band", "least", "m"))
     met = stored(banded.join(shared, "band").select("band", "node", "least", "m"))
     whole = met.where(F.col("m") > BUCKET).select(F.col("node").alias("a"), F.col("least").alias("b"))
     small = met.where(F.col("m") <= BUCKET).select("band", "node").join(firsts.select("node", "n", "sig"), "node").select("band", "node", "n", "sig")
