@@ -26,7 +26,7 @@ from .common import table
 
 DECAY, SPAN, LANDMARKS, PLAIN = 0.75, 8, 128, 48
 #: Labelled rows of each class used for training, at most.
-SAMPLE = 2500
+SAMPLE = 1500
 ROUNDS, SEED, CUT, LIFT, LEAST_Z, WORST = 3, 11, 0.3, 5.0, 2.5, 5
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 400_000
@@ -56,6 +56,11 @@ class Kernel:
     def __init__(self, landmarks: list[str]):
         self.letters = {c: i + 1 for i, c in enumerate(sorted(set("".join(landmarks))))}
         self.base = len(self.letters) + 1
+        self.column = None  # of each triple; 0 for those of no landmark
+        known = np.unique(np.concatenate([self.triples([w])[0][0] for w in landmarks]))
+        self.column = np.zeros(self.base**3, np.int32)
+        self.column[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
 
     def triples(self, words: list[str]):
         """For words of one length: codes (words x places x steps), and their weights, 0 beyond the word's end."""
@@ -66,14 +71,16 @@ class Kernel:
         pad = np.pad(ids, ((0, 0), (0, SPAN)))
         codes = (pad[:, at + STEPS[None, :, 0]] * self.base + pad[:, at + STEPS[None, :, 1]]) * self.base + pad[:, at + STEPS[None, :, 2]]
         weights = np.where(inside, WEIGHTS[None, :], 0).astype(np.float32)
-        return codes.reshape(len(words), -1), weights.reshape(-1), float(np.sqrt((weights.astype(np.float64) ** 2).sum())) or 1.0
+        codes = codes.reshape(len(words), -1)
+        return codes if self.column is None else self.column[codes], weights.reshape(-1), float(np.sqrt((weights.astype(np.float64) ** 2).sum())) or 1.0
 
     def dense(self, words: list[str]) -> np.ndarray:
         """The normalised feature vectors of a few words."""
-        out = np.zeros((len(words), self.base**3), np.float32)
+        out = np.zeros((len(words), self.width), np.float32)
         for i, w in enumerate(words):
             codes, weights, norm = self.triples([w])
             np.add.at(out[i], codes[0], weights / norm)
+        out[:, 0] = 0
         return out
 
     def against(self, words: list[str], table_: np.ndarray) -> np.ndarray:
@@ -179,7 +186,8 @@ def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Mod
         return Model(None, None, 0.0, float((y.sum() + 1) / (len(y) + 2)))
     rng = np.random.default_rng(seed)
     raw = [words_of(t) for t in texts]
-    bags = [{bare(w) for w in bag} for bag in raw]
+    alike: dict[str, str] = {}  # one string a word
+    bags = [{alike.setdefault(b, b) for b in map(bare, bag)} for bag in raw]
     negatives = sorted(set().union(*(b for b, t in zip(bags, y) if not t)))
     z = telling(bags, y)
     landmarks = chosen_landmarks(z, negatives, rng)
