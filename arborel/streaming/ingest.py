@@ -69,7 +69,8 @@ class Reorder(StatefulProcessor):
             at += 1
         self.next.update((at,))
         self.dropped.update((low,))
-        yield pd.DataFrame({"chain": [key[0]] * len(out), "height": pd.Series(out, dtype="int64")})
+        if out:
+            yield pd.DataFrame({"chain": pd.Series([key[0]] * len(out), dtype=object), "height": pd.Series(out, dtype="int64")})
 
     def close(self) -> None:
         pass
