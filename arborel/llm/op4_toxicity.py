@@ -27,7 +27,7 @@ from .common import table
 DECAY, SPAN, LANDMARKS, PLAIN = 0.75, 8, 128, 48
 #: Labelled rows of each class used for training, at most.
 SAMPLE = 1500
-ROUNDS, SEED, CUT, LIFT, LEAST_Z, WORST = 3, 11, 0.3, 5.0, 2.5, 5
+ROUNDS, SEED, CUT, LIFT, LEAST_Z, WORST = 5, 11, 0.3, 5.0, 2.5, 5
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 400_000
 STEPS = np.array([(0, j, k) for k in range(2, SPAN) for j in range(1, k)])
@@ -116,7 +116,7 @@ def chosen_landmarks(z: dict[str, float], plain: list[str], rng) -> list[str]:
         if heads[w[:5]] < 6:
             heads[w[:5]] += 1
             picked.append(w)
-    return picked + [str(w) for w in rng.permutation([w for w in plain if len(w) >= 4 and w not in picked])[:PLAIN]]
+    return picked + [str(w) for w in rng.permutation([w for w in plain if len(w) >= 3 and w not in picked])[:PLAIN]]
 
 
 def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 2e-4, steps: int = 30) -> np.ndarray:
@@ -188,7 +188,8 @@ def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Mod
     raw = [words_of(t) for t in texts]
     alike: dict[str, str] = {}  # one string a word
     bags = [{alike.setdefault(b, b) for b in map(bare, bag)} for bag in raw]
-    negatives = sorted(set().union(*(b for b, t in zip(bags, y) if not t)))
+    rates = Counter(w for b, t in zip(bags, y) if not t for w in b)  # clean documents that hold a word
+    negatives = sorted(rates)
     z = telling(bags, y)
     landmarks = chosen_landmarks(z, negatives, rng)
     marks = sum(z.get(w, 0) >= LEAST_Z for w in landmarks)
@@ -211,15 +212,17 @@ def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Mod
         near = sorted(set(hard) - set(positive))
         x = kernel.against(positive + some + near, features).astype(np.float64) @ root
         label = np.r_[np.ones(len(positive)), np.zeros(len(some) + len(near))]
-        shares = (1.0 / max(1, len(positive)), 0.5 / max(1, len(some)), 1.0 / max(1, len(near)))
-        v = hinge(x, label, np.repeat(shares, (len(positive), len(some), len(near))))
+        often = np.sqrt([rates[w] for w in some + near])  # a clean word counts by how often it would mislead
+        often[: len(some)] *= 0.5 / (often[: len(some)].sum() + 1e-9)
+        often[len(some) :] *= 2.0 / (often[len(some) :].sum() + 1e-9)
+        v = hinge(x, label, np.r_[np.full(len(positive), 1 / len(positive)), often])
         folded = ((root @ v[:-1]) @ features).astype(np.float32)
         model = Model(kernel, folded, float(v[-1]))
         if negatives:
             order = np.argsort(-model.words(negatives), kind="stable")
             hard = list(dict.fromkeys(hard + [negatives[i] for i in order[:600]]))
             # the landmarks that stand for clean words are those hardest to tell
-            landmarks = landmarks[:marks] + [negatives[i] for i in order if negatives[i] not in first and len(negatives[i]) >= 4][:PLAIN]
+            landmarks = landmarks[:marks] + [negatives[i] for i in order if negatives[i] not in first and len(negatives[i]) >= 3][:PLAIN]
         # a word is a witness if it scores above what all but a fiftieth of clean documents reach
         known = dict(zip(negatives, model.words(negatives).tolist()))
         bar = max(0.0, float(np.quantile([max(map(known.__getitem__, ws)) for ws in clean], 0.98))) if clean else 0.0
