@@ -16,6 +16,7 @@ documents without a label are no error; with labels of one class only, all score
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import table
 
-DECAY, SPAN, LANDMARKS, PLAIN = 0.75, 8, 128, 48
+DECAY, SPAN, LANDMARKS, PLAIN = 0.6, 8, 192, 96
 #: Labelled rows of each class used for training, at most.
-SAMPLE = 1500
+SAMPLE = 2000
 ROUNDS, SEED, CUT, LIFT, LEAST_Z, WORST = 5, 11, 0.3, 5.0, 2.5, 5
 #: Distinct words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 STEPS = np.array([(0, j, k) for k in range(2, SPAN) for j in range(1, k)])
 WEIGHTS = (DECAY ** (STEPS[:, 2] + 1)).astype(np.float32)
 
@@ -98,25 +99,24 @@ class Kernel:
         return out
 
 
-def telling(bags: list[set[str]], labels: np.ndarray) -> dict[str, float]:
-    """Words at least LIFT times as common in toxic documents as in clean ones, with the z value of the difference."""
-    toxic, clean = Counter(), Counter()
-    for bag, y in zip(bags, labels):
-        (toxic if y else clean).update(bag)
-    t, c = labels.sum() or 1, (1 - labels).sum() or 1
-    return {w: (n / t - clean[w] / c) / np.sqrt((n / t + clean[w] / c) / min(t, c) + 1e-9) for w, n in toxic.items() if len(w) >= 4 and n / t >= LIFT * clean[w] / c}
+def telling(words: list[str], toxic: np.ndarray, clean: np.ndarray, t: float, c: float) -> np.ndarray:
+    """Of each word the z value of the difference between its document rates, 0 unless it is LIFT times as common in toxic documents."""
+    high, low = toxic / t, clean / c
+    z = (high - low) / np.sqrt((high + low) / min(t, c) + 1e-9)
+    return np.where((high >= LIFT * low) & (toxic > 0) & np.array([len(w) >= 4 for w in words], bool), z, 0.0)
 
 
-def chosen_landmarks(z: dict[str, float], plain: list[str], rng) -> list[str]:
+def chosen_landmarks(words: list[str], z: np.ndarray, plain: np.ndarray, rng) -> list[int]:
     """The most telling words (of those that share their first five signs, six at most), and plain ones."""
     picked, heads = [], Counter()
-    for w in sorted((w for w in z if z[w] >= LEAST_Z), key=lambda w: (-z[w], w)):
+    for i in sorted(np.flatnonzero(z >= LEAST_Z).tolist(), key=lambda i: (-z[i], words[i])):
         if len(picked) >= LANDMARKS - PLAIN:
             break
-        if heads[w[:5]] < 6:
-            heads[w[:5]] += 1
-            picked.append(w)
-    return picked + [str(w) for w in rng.permutation([w for w in plain if len(w) >= 3 and w not in picked])[:PLAIN]]
+        if heads[words[i][:5]] < 6:
+            heads[words[i][:5]] += 1
+            picked.append(i)
+    rest = sorted((int(i) for i in plain if len(words[i]) >= 3), key=lambda i: words[i])
+    return picked + [int(i) for i in rng.permutation(rest)[:PLAIN]]
 
 
 def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 2e-4, steps: int = 30) -> np.ndarray:
@@ -165,13 +165,14 @@ class Model:
             self.known.clear()
         new = list(set().union(*bags).difference(self.known)) if bags else []
         self.known.update(zip(new, self.words([bare(w) for w in new]).tolist()))
-        out = np.full((len(bags), WORST + 2), self.offset)
-        for row, bag in zip(out, bags):
-            f = np.fromiter(map(self.known.__getitem__, bag), float, len(bag))
-            top = -np.sort(np.partition(-f, WORST)[:WORST]) if len(f) > WORST else np.sort(f)[::-1]
-            row[: len(top)] = top
-            row[WORST:] = np.log1p((f > 0).sum()), np.log1p(len(f))
-        return out
+        return np.array([self.profile(np.fromiter(map(self.known.__getitem__, bag), float, len(bag))) for bag in bags]).reshape(len(bags), WORST + 2)
+
+    def profile(self, margins: np.ndarray) -> np.ndarray:
+        row = np.full(WORST + 2, self.offset)
+        top = -np.sort(np.partition(-margins, WORST)[:WORST]) if len(margins) > WORST else np.sort(margins)[::-1]
+        row[: len(top)] = top
+        row[WORST:] = np.log1p((margins > 0).sum()), np.log1p(len(margins))
+        return row
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.rate is not None:
@@ -182,56 +183,55 @@ class Model:
 
 def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Model:
     y = np.array(labels, float)
+    constant = Model(None, None, 0.0, float((y.sum() + 1) / (len(y) + 2)))
     if not len(y) or y.min() == y.max():
-        return Model(None, None, 0.0, float((y.sum() + 1) / (len(y) + 2)))
+        return constant
     rng = np.random.default_rng(seed)
-    raw = [words_of(t) for t in texts]
-    alike: dict[str, str] = {}  # one string a word
-    bags = [{alike.setdefault(b, b) for b in map(bare, bag)} for bag in raw]
-    rates = Counter(w for b, t in zip(bags, y) if not t for w in b)  # clean documents that hold a word
-    negatives = sorted(rates)
-    z = telling(bags, y)
-    landmarks = chosen_landmarks(z, negatives, rng)
-    marks = sum(z.get(w, 0) >= LEAST_Z for w in landmarks)
-    first = dict(zip(landmarks[:marks], range(marks)))
+    number: dict[str, int] = {}
+    bags = [np.array([number.setdefault(bare(w), len(number)) for w in sorted(words_of(t))], np.int32) for t in texts]
+    words, sets = list(number), [np.unique(b) for b in bags]
+    count = lambda wanted: np.bincount(np.concatenate([*(s for s, t in zip(sets, y) if t == wanted), np.zeros(0, np.int32)]), minlength=len(words))
+    toxic, clean = count(1), count(0)
+    z = telling(words, toxic, clean, max(1.0, y.sum()), max(1.0, (1 - y).sum()))
+    negatives = np.flatnonzero(clean)
+    landmarks = chosen_landmarks(words, z, negatives[z[negatives] < LEAST_Z], rng)
+    first = [i for i in landmarks if z[i] >= LEAST_Z]
+    if not first:
+        return constant
+    place = np.full(len(words), LANDMARKS)
+    place[first] = np.arange(len(first))
     # a toxic document without a telling word says nothing about words: labels may be wrong
-    likely = {w for w in z if z[w] >= 0.6 * LEAST_Z}
-    toxic = [ws for b, t in zip(bags, y) if t and (ws := sorted(b & likely))]
-    clean = [sorted(b) for b, t in zip(bags, y) if not t and b]
-    witness = [w for ws in toxic for w in [min(ws, key=lambda w: (first.get(w, LANDMARKS), w))] if w in first] or list(first)
-    if not witness:
-        return Model(None, None, 0.0, float((y.sum() + 1) / (len(y) + 2)))
-    hard: list[str] = []
+    cases = [c for s, t in zip(sets, y) if t for c in [s[z[s] >= 0.6 * LEAST_Z]] if len(c)]
+    witness = [int(c[place[c].argmin()]) for c in cases if place[c].min() < LANDMARKS]
+    hard: list[int] = []
     for _ in range(ROUNDS):
-        kernel = Kernel(landmarks)
-        features = kernel.dense(landmarks)
+        kernel = Kernel([words[i] for i in landmarks])
+        features = kernel.dense([words[i] for i in landmarks])
         values, vectors = np.linalg.eigh((features @ features.T).astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-4))  # Nystrom: kernel values with the landmarks times this
         positive = sorted({*witness, *first})
-        some = sorted({*(rng.permutation(negatives)[:2000].tolist() if negatives else [])} - {*positive, *hard})
         near = sorted(set(hard) - set(positive))
-        x = kernel.against(positive + some + near, features).astype(np.float64) @ root
+        some = sorted({int(i) for i in rng.permutation(negatives)[:2000]} - {*positive, *near})
+        x = kernel.against([words[i] for i in positive + some + near], features).astype(np.float64) @ root
         label = np.r_[np.ones(len(positive)), np.zeros(len(some) + len(near))]
-        often = np.sqrt([rates[w] for w in some + near])  # a clean word counts by how often it would mislead
+        often = np.sqrt(clean[some + near].astype(float))  # a clean word counts by how often it would mislead
         often[: len(some)] *= 0.5 / (often[: len(some)].sum() + 1e-9)
         often[len(some) :] *= 2.0 / (often[len(some) :].sum() + 1e-9)
         v = hinge(x, label, np.r_[np.full(len(positive), 1 / len(positive)), often])
-        folded = ((root @ v[:-1]) @ features).astype(np.float32)
-        model = Model(kernel, folded, float(v[-1]))
-        if negatives:
-            order = np.argsort(-model.words(negatives), kind="stable")
-            hard = list(dict.fromkeys(hard + [negatives[i] for i in order[:600]]))
+        model = Model(kernel, ((root @ v[:-1]) @ features).astype(np.float32), float(v[-1]))
+        margins = model.words(words)
+        if len(negatives):
+            order = negatives[np.argsort(-margins[negatives], kind="stable")]
+            hard = list(dict.fromkeys(hard + order[:600].tolist()))
             # the landmarks that stand for clean words are those hardest to tell
-            landmarks = landmarks[:marks] + [negatives[i] for i in order if negatives[i] not in first and len(negatives[i]) >= 3][:PLAIN]
+            landmarks = first + [int(i) for i in order if place[i] == LANDMARKS and len(words[i]) >= 3][:PLAIN]
         # a word is a witness if it scores above what all but a fiftieth of clean documents reach
-        known = dict(zip(negatives, model.words(negatives).tolist()))
-        bar = max(0.0, float(np.quantile([max(map(known.__getitem__, ws)) for ws in clean], 0.98))) if clean else 0.0
-        scored = [max((float(s), w) for s, w in zip(model.words(ws), ws)) for ws in toxic]
-        witness = [w for s, w in scored if s > bar] or witness
-    profiles = model.profiles(raw)
+        worst = [margins[s].max() for s, t in zip(sets, y) if not t and len(s)]
+        bar = max(0.0, float(np.quantile(worst, 0.98))) if worst else 0.0
+        witness = [int(c[margins[c].argmax()]) for c in cases if margins[c].max() > bar] or witness
+    profiles = np.array([model.profile(margins[b]) for b in bags])
     model.mean, model.scale = profiles.mean(axis=0), profiles.std(axis=0) + 1e-6
     model.slopes = logistic((profiles - model.mean) / model.scale, y)
-    model.known = {}
     return model
 
 
@@ -240,12 +240,19 @@ def held_out(id_column: str = "doc_id"):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows that aren't held out: of each class the `sample` rows with the smallest hash of the id."""
+    """Learns from labelled rows that aren't held out: of each class the `sample` rows with the smallest hash of the id. Training runs in one task, which gets
+    2 * sample texts at most; the driver gets the machine only."""
     usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     ids = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample) for c in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "text", "toxic").collect()  # 2 * sample ids at most
-    one = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))}
-    return trained([one[i].text for i in sorted(one)], [one[i].toxic for i in sorted(one)])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "text", "toxic")  # 2 * sample ids at most
+
+    def train(group: pa.Table) -> pa.Table:
+        one = {r["doc_id"]: r for r in sorted(group.to_pylist(), key=lambda r: (r["doc_id"], r["text"] or ""))}
+        model = trained([one[i]["text"] for i in sorted(one)], [one[i]["toxic"] for i in sorted(one)])
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(train, "model binary").collect()
+    return pickle.loads(found[0].model) if found else trained([], [])
 
 
 def scorer(model: Model, at: int):

@@ -71,7 +71,7 @@ def sketch(lines: list[str]) -> np.ndarray:
     zeros = np.minimum(zeros, np.uint64((1 << (16 - MANTISSA)) - 2))
     below = (least << zeros) << np.uint64(1)
     regs = ((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | (below >> np.uint64(64 - MANTISSA))
-    return np.where(filled, regs, 0).astype(np.uint16).reshape(len(lines), -1)
+    return np.where(filled, regs, 0).astype(np.uint16).reshape(len(lines), 1 << BUCKET_BITS)
 
 
 def sketched(batches):
@@ -134,7 +134,7 @@ def without_fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, n_lines, n_kept, dropped): dropped lists line numbers, from 0, ascending."""
+    """(doc_id, n_lines, n_kept, dropped): dropped lists line numbers, from 0, ascending. Rows that repeat whole are reported in one row."""
     found = fuzzy_lines(table(spark, sf_dir, "documents"))
     gone = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line"))))
     out = found.groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"), gone.alias("gone"))
