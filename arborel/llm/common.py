@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Java regular expression of a word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,18 +59,22 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, spread, how: str = "lef
     return salted.join(sub, [key, "_salt"], how).drop("_salt")
 
 
+#: Links of one node up to which they may meet in one task.
+HUB = 1_000_000
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links(a long, b long): rows (node, comp), comp the smallest node reached; only nodes with links.
 
     Distributed union-find by alternating large-star and small-star steps (Kiveris et al., 2014). Each round is a few
-    aggregations over the links; the state is one written table a round. A hub's minimum is pre-aggregated map-side and its
-    links are spread over salts when they meet it."""
-    spark = links.sparkSession
+    shuffles of the links; the state is one written table a round. Where some node has over HUB links, its minimum is pre-aggregated map-side
+    and its links are spread over salts when they meet it; else a window over each node's links does the same with fewer shuffles."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
-        if _all_stars(edges):
+        done, most = _shape(edges)
+        if done:
             break
-        after = stored(_small_star(_large_star(edges)))
+        after = stored(_small_star(_large_star(edges, most), most))
         discard(edges)
         edges = after
     else:
@@ -78,28 +82,32 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct()
 
 
-def _all_stars(edges: DataFrame) -> bool:
-    """Whether each node has one link down, to a node that has none: then the links are the components."""
-    ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    ends = ends.select(F.col("u").alias("x"), (F.col("n") > 1).alias("many"), F.lit(True).alias("up")).union(edges.select("v", F.lit(False), F.lit(False)).distinct())
-    bad = ends.groupBy("x").agg(F.max("many").alias("many"), F.count(F.lit(1)).alias("roles")).where("many or roles > 1")
-    return not bad.select(F.lit(1)).take(1)
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether each node has one link down, to a node that has none (then the links are the components), and the most links of a node."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    counts = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    row = counts.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("n") > F.col("up")))).alias("bad"), F.max("n").alias("most")).first()
+    return not row.bad, row.most or 0
 
 
-def _starred(arcs: DataFrame) -> DataFrame:
+def _starred(arcs: DataFrame, most: int) -> DataFrame:
     """arcs(u, v) with m, the smallest neighbour of u or u itself."""
+    if most <= HUB:
+        return arcs.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
     least = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return attach(arcs, least, "u", "v", "inner", 16)
+    return attach(arcs, least, "u", "v", "inner", SALTS)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v"), F.col("u")))
-    return _starred(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _starred(both, most).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = _starred(edges)
-    return down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
+    # every node sends its neighbours, and itself, to its minimum
+    down = _starred(edges, most)
+    both = down.select("u", "m", F.explode(F.array("u", "v")).alias("x")).where("x <> m")
+    return both.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
 
 
 #: Bits of the membership bitmap: 4,096 rows of 4 KB, so at most 16 MB are ever broadcast.

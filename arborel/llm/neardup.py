@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, components, discard, stored
+from .common import attach, components, maybe_in, stored
 
 #: Most nodes of a cluster in one block, and anchors that a block is given besides.
 BLOCK, ANCHORS = 500, 8
@@ -176,41 +176,33 @@ def searched(decode, bits: int, mantissa: int, threshold: float, labelled: bool)
 
 def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, mantissa: int, exact: bool = True) -> DataFrame:
     """(digest, node, comp, copies): for each distinct set its node, the smallest node of its class, and its number of items.
-    sketches is a stored table with a unique long `rid`; a node is the smallest rid of its digest. fetch takes (place, digest, node) of candidates
-    and returns (node, payload), decode makes the set of a payload. exact: n is the set's size."""
+    sketches is a stored table with a unique long `rid`; a node is the smallest rid of its digest. fetch takes (place, digest, ...) of candidates
+    and returns those rows with their payload (and without place and digest); decode makes the set of a payload. exact: n is the set's size."""
     some = sketches.where("digest is not null")
     groups = stored(some.groupBy("digest").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies")))
     firsts = stored(some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "place", "digest", "n", "sig"))
-    banded = firsts.select("node", F.explode(bands(F.col("sig"), (1 << bits) // ROWS)).alias("band"))
-    met = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
-    # similar nodes meet in many bands: of bands with the same nodes (by number, ends and hash) one is enough
-    shared = stored(met.groupBy("least", "most", "m", "x").agg(F.min("band").alias("band")).select("band", "least", "m"))
-    met = stored(banded.join(shared, "band").select("band", "node", "least", "m"))
-    whole = met.where(F.col("m") > BUCKET).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    small = met.where(F.col("m") <= BUCKET).select("band", "node").join(firsts.select("node", "n", "sig"), "node").select("band", "node", "n", "sig")
-    near = small.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed(threshold, mantissa, exact), "a bigint, b bigint")
-    near = stored(near.union(whole))
-    discard(met)
-    clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
+    near = stored(likely_links(firsts, threshold, bits, mantissa, exact))
 
-    wanted = firsts.select("node", "place", "digest").join(clusters.select("node"), "node", "left_semi")
-    members = stored(fetch(stored(wanted)).join(clusters, "node").select("cluster", "node", "payload"))
+    # where each node of a cluster is searched: only numbers move until sets are fetched once
+    clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
     sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
-    placed = attach(members, sizes, "cluster", "node", "inner").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # anchors: a few of the cluster's nodes, in every block of a cluster that has several
-    many = clusters.join(sizes.where(F.col("m") > BLOCK), "cluster").select("cluster", "m", F.struct(F.xxhash64("node").alias("h"), "node").alias("x"))
-    picked = many.withColumn("s", F.pmod(F.col("x.h"), F.lit(ANCHORS))).groupBy("cluster", "s", "m").agg(F.min("x").alias("x"))
-    anchors = picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)).alias("block"))
-    columns = ["cluster", "block", "node", "payload"]
-    dealt = placed.select(columns).union(members.join(anchors, ["cluster", "node"]).select(columns))
-    links = stored(dealt.groupBy("cluster", "block").applyInArrow(searched(decode, bits, mantissa, threshold, False), "a bigint, b bigint"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = attach(clusters, sizes, "cluster", "node", "inner").select("cluster", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = stored(placed)
+    # a few of the cluster's nodes go to every block of a cluster that has several
+    picked = placed.where("blocks > 1").select("cluster", "blocks", F.struct(F.xxhash64("node").alias("h"), "node").alias("x"))
+    picked = picked.withColumn("s", F.pmod(F.col("x.h"), F.lit(ANCHORS))).groupBy("cluster", "s", "blocks").agg(F.min("x").alias("x"))
+    anchors = picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = placed.select("cluster", "node", "block").union(anchors).distinct()
+    where = firsts.select("node", "place", "digest")
+    links = fetch(stored(where.join(dealt, "node"))).groupBy("cluster", "block").applyInArrow(searched(decode, bits, mantissa, threshold, False), "a bigint, b bigint")
+    links = stored(links)
     known = stored(components(links))
 
     # clusters of several blocks: what lies outside the largest class against all
-    big = placed.where("blocks > 1").select("cluster", "node", "blocks", "block").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    big = stored(big)
+    big = placed.where("blocks > 1")
     if big.take(1):
+        big = stored(big.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         counted = big.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = counted.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds"))
         open_ = attach(big, main.where("kinds > 1"), "cluster", "node", "inner").withColumn("query", F.col("comp") != F.col("top.comp"))
@@ -220,9 +212,22 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
         against = open_.withColumn("query", F.lit(False)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         asking = open_.where("query").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         both = asking.unionByName(against).groupBy("cluster", "block", "part", "node", "comp").agg(F.max("query").alias("query"))
-        full = both.join(members.drop("cluster"), "node")
-        more = full.groupBy("cluster", "block", "part").applyInArrow(searched(decode, bits, mantissa, threshold, True), "a bigint, b bigint")
-        links = stored(links.union(more))
+        more = fetch(stored(where.join(both, "node"))).groupBy("cluster", "block", "part").applyInArrow(searched(decode, bits, mantissa, threshold, True), "a bigint, b bigint")
+        # classes known so far are stars, so they stand for the links already found
+        links = known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)
         known = stored(components(links))
-    discard(members)
     return groups.join(known, "node", "left").select("digest", "node", F.coalesce("comp", "node").alias("comp"), "copies")
+
+
+def likely_links(firsts: DataFrame, threshold: float, bits: int, mantissa: int, exact: bool) -> DataFrame:
+    """(a, b): links by the estimate that connect all that share a band and may be similar. Band keys that only one node has are dropped by a bitmap
+    before any wide row moves; of bands with the same nodes one is looked at."""
+    banded = firsts.select("node", F.explode(bands(F.col("sig"), (1 << bits) // ROWS)).alias("band"))
+    shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band"))
+    met = stored(maybe_in(banded, "band", shared).join(shared, "band").select("band", "node"))
+    facts = met.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    chosen = stored(facts.groupBy("least", "most", "m", "x").agg(F.min("band").alias("band")).select("band", "least", "m"))
+    met = stored(met.join(chosen, "band"))
+    whole = met.where(F.col("m") > BUCKET).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    small = met.where(F.col("m") <= BUCKET).select("band", "node").join(firsts.select("node", "n", "sig"), "node").select("band", "node", "n", "sig")
+    return small.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed(threshold, mantissa, exact), "a bigint, b bigint").union(whole)

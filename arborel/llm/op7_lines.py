@@ -112,7 +112,7 @@ def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     def fetch(wanted: DataFrame) -> DataFrame:
         got = maybe_in(rows, "place", wanted).mapInArrow(lines_of, "digest binary, payload binary").withColumn("_key", F.xxhash64("digest"))
         near = maybe_in(got, "_key", wanted.select(F.xxhash64("digest").alias("_key")))
-        return near.join(wanted.select("digest", "node"), "digest").select("node", "payload").dropDuplicates(["node"])
+        return near.dropDuplicates(["digest"]).join(wanted.drop("place"), "digest").drop("digest", "_key")
 
     found = stored(classes(lines, fetch, char_set, threshold, BUCKET_BITS, MANTISSA, exact=False).select("digest", "comp"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "line", "rid")
