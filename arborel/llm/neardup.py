@@ -20,8 +20,9 @@ from .common import attach, components, maybe_in, stored
 
 #: Most nodes of a cluster in one block, and anchors that a block is given besides.
 BLOCK, ANCHORS = 500, 8
-#: Registers of a band.
-ROWS = 4
+#: Registers of a band; keys that a worker gathers before it sends them; keys that a task compares.
+ROWS, PACK, COUNTED = 4, 1 << 21, 1 << 20
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Most nodes of a band key that are compared in one task.
 BUCKET = 2000
 #: Standard deviations that the estimate may lie below the threshold before a pair is dropped unverified.
@@ -55,10 +56,52 @@ def registers(hashes: np.ndarray, bits: int, mantissa: int) -> np.ndarray:
     return out
 
 
-def bands(sig, count: int):
-    """Column of band keys: hashes of ROWS registers each, of bands that aren't all empty. sig: column of 2 * ROWS * count bytes or more."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.alias("i"), F.substring(sig, i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("x")))
-    return F.transform(F.filter(parts, lambda p: p["x"] != F.lit(bytes(2 * ROWS))), lambda p: F.xxhash64(p["i"], p["x"]))
+def band_keys(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all bands that aren't all empty, and the index of the signature that each belongs to. A band's ROWS registers are 8 bytes."""
+    if not sigs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grid = np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
+    key = mix(grid + PRIME * np.arange(1, grid.shape[1] + 1, dtype=np.uint64))
+    owner, band = np.nonzero(grid)
+    return key[owner, band].view(np.int64), owner
+
+
+def packed(buckets: int):
+    """(sig) to (bucket, keys): many keys a row, so a key takes 8 bytes of a shuffle."""
+
+    def emit(parts):
+        keys = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        keys, bucket = keys[order], bucket[order]
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        ends = np.r_[edges[1:], len(keys)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int64()), pa.array([keys[i:j].tobytes() for i, j in zip(edges, ends)], pa.binary())], names=["bucket", "keys"])
+
+    def run(batches):
+        parts, n = [], 0
+        for batch in batches:
+            parts.append(band_keys(batch["sig"].to_pylist())[0])
+            n += len(parts[-1])
+            if n >= PACK:
+                yield emit(parts)
+                parts, n = [], 0
+        yield emit(parts)
+
+    return run
+
+
+def repeated(group: pa.Table) -> pa.Table:
+    """The keys that occur more than once."""
+    keys = np.sort(np.frombuffer(b"".join(group["keys"].to_pylist()), np.int64))
+    return pa.table({"band": pa.array(np.unique(keys[1:][keys[1:] == keys[:-1]]), pa.int64())})
+
+
+def banded(batches):
+    """(node, sig) to (node, band)."""
+    for batch in batches:
+        keys, owner = band_keys(batch["sig"].to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(batch["node"].to_numpy()[owner], pa.int64()), pa.array(keys, pa.int64())], names=["node", "band"])
 
 
 def likely(regs: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, threshold: float, mantissa: int, exact: bool = True) -> np.ndarray:
@@ -180,8 +223,9 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
     and returns those rows with their payload (and without place and digest); decode makes the set of a payload. exact: n is the set's size."""
     some = sketches.where("digest is not null")
     groups = stored(some.groupBy("digest").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies")))
-    firsts = stored(some.join(groups.select("node"), some.rid == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "place", "digest", "n", "sig"))
-    near = stored(likely_links(firsts, threshold, bits, mantissa, exact))
+    # the first row of each digest, by a bitmap and no shuffle; should another row pass, it only is a node more, linked by its equal set
+    firsts = maybe_in(some, "rid", groups.select(F.col("node").alias("rid"))).select(F.col("rid").alias("node"), "place", "digest", "n", "sig")
+    near = stored(likely_links(firsts, groups.count() * ((1 << bits) // ROWS), threshold, mantissa, exact))
 
     # where each node of a cluster is searched: only numbers move until sets are fetched once
     clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
@@ -219,15 +263,19 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
     return groups.join(known, "node", "left").select("digest", "node", F.coalesce("comp", "node").alias("comp"), "copies")
 
 
-def likely_links(firsts: DataFrame, threshold: float, bits: int, mantissa: int, exact: bool) -> DataFrame:
-    """(a, b): links by the estimate that connect all that share a band and may be similar. Band keys that only one node has are dropped by a bitmap
-    before any wide row moves; of bands with the same nodes one is looked at."""
-    banded = firsts.select("node", F.explode(bands(F.col("sig"), (1 << bits) // ROWS)).alias("band"))
-    shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band"))
-    met = stored(maybe_in(banded, "band", shared).join(shared, "band").select("band", "node"))
+def likely_links(firsts: DataFrame, keys: int, threshold: float, mantissa: int, exact: bool) -> DataFrame:
+    """(a, b): links by the estimate that connect all that share a band and may be similar. keys: about how many band keys there are. Keys that only
+    one node has are dropped by a bitmap before any row with a node moves; of bands with the same nodes one is looked at."""
+    buckets = max(16, keys // COUNTED)
+    shared = firsts.select("sig").mapInArrow(packed(buckets), "bucket bigint, keys binary").groupBy("bucket").applyInArrow(repeated, "band bigint")
+    shared = stored(shared)
+    rows = maybe_in(firsts.select("node", "sig").mapInArrow(banded, "node bigint, band bigint"), "band", shared)
+    met = stored(rows.join(shared, "band").select("band", "node"))
     facts = met.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"))
     chosen = stored(facts.groupBy("least", "most", "m", "x").agg(F.min("band").alias("band")).select("band", "least", "m"))
     met = stored(met.join(chosen, "band"))
     whole = met.where(F.col("m") > BUCKET).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    small = met.where(F.col("m") <= BUCKET).select("band", "node").join(firsts.select("node", "n", "sig"), "node").select("band", "node", "n", "sig")
-    return small.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed(threshold, mantissa, exact), "a bigint, b bigint").union(whole)
+    small = met.where(F.col("m") <= BUCKET).select("band", "node")
+    sigs = maybe_in(firsts.select("node", "n", "sig"), "node", small)
+    wide = small.join(sigs, "node").select("band", "node", "n", "sig")
+    return wide.repartition("band").sortWithinPartitions("band").mapInArrow(bucketed(threshold, mantissa, exact), "a bigint, b bigint").union(whole)

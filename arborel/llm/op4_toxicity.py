@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import small_batches, table
 
 DECAY, SPAN, LANDMARKS, PLAIN = 0.6, 8, 192, 96
 #: Labelled rows of each class used for training, at most.
@@ -267,6 +267,7 @@ def scorer(model: Model, at: int):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column _score; all their columns stay, whatever their names."""
+    small_batches(docs.sparkSession)
     schema = docs.select("*", F.lit(0.0).alias("_score")).schema
     return docs.mapInArrow(scorer(model, docs.columns.index("text")), schema)
 

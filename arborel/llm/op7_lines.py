@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, maybe_in, stored, table
+from .common import attach, maybe_in, small_batches, stored, table
 from .neardup import classes, mix
 
 SHINGLE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 0.8, 6, 10
@@ -105,6 +105,7 @@ def lines_of(batches):
 
 def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, place, line, kept): a row for each line; place is the hash of its row's id and text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(id_column, text_column).alias("place"), F.col(text_column).alias("text"))
     made = rows.mapInArrow(sketched, "doc_id bigint, place bigint, line int, n bigint, digest binary, sig binary")
     lines = stored(made.withColumn("rid", F.monotonically_increasing_id()))

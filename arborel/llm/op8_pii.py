@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import small_batches, table
 
 KINDS = ["email", "ip", "card", "phone"]
 # The patterns of the base kinds. Runs are possessive and begin where a run begins, which changes no match and keeps time linear.
@@ -370,6 +370,7 @@ def rows_of(model):
 
 def personal_data(docs: DataFrame, model: dict | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): a row for each row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(rows_of(shared), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")

@@ -17,7 +17,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NODES = 1_000_000
@@ -102,6 +102,7 @@ def counted(scores: dict[str, float]):
 
 def token_counts(docs: DataFrame, scores: dict[str, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens): a row for each row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scores)
     rows = docs.selectExpr(f"cast(`{id_column}` as bigint) as doc_id", f"`{text_column}` as text")
     return rows.mapInArrow(counted(shared), "doc_id bigint, n_words bigint, n_tokens bigint")
