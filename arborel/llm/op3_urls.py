@@ -41,7 +41,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column
     listed = rules.select("host", "path", "verdict").distinct()
     listed = listed.select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("hl"), F.length("path").alias("pl"), digest(F.concat_ws("\x1f", "host", "path")).alias("full"))
     listed = listed.withColumn("short", F.substring("full", 1, 4))
-    few = len(listed.select(F.lit(1)).limit(BROADCAST_RULES + 1).collect()) <= BROADCAST_RULES if rules.sparkSession else False
+    few = listed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     lengths = sorted(r[0] for r in listed.select("pl").distinct().limit(65_536).collect())  # path lengths, not rules
     urls = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("_url"))
     urls = urls.select("page_id", host.alias("host"), path.alias("path")).withColumn("place", F.xxhash64("host", F.lit("\x1f"), "path"))

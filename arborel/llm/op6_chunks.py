@@ -2,9 +2,10 @@
 
 A text is cut where its own content says so: a chunk ends after the first white space at least MIN characters in that follows a trigger
 letter, or at MAX characters. Cuts depend on the text near them alone, so equal passages yield equal chunks wherever they stand.
-A chunk's identifier is its SHA-256 digest, so equal chunks need no coordination to be stored once (`chunk_table`, which verifies
-each identifier by length and a second hash). A text's recipe is the ordered list of its chunks' identifiers; two texts are equal
-when the lists are. Only recipes are shuffled: 32 bytes for some thousand characters.
+Chunks are deduplicated over the whole corpus by a 64-bit identifier, which is verified: all chunks under one identifier must have one SHA-256
+digest. (Should two chunks ever share one, digests serve as identifiers instead.) A text's recipe is the ordered list of its chunks'
+identifiers; two texts are equal when the lists are. Long texts never move: chunks go through the aggregation as 40 bytes each, recipes as 8
+bytes a chunk. `chunk_table` gives the chunks themselves, each once.
 
 Null counts as the empty text; its recipe is the empty list. Of equal texts the row with the largest doc_id stays (nulls are the
 smallest); rows that repeat under one doc_id share its fate, so both are kept where that id stays. Other columns are not read.
@@ -26,9 +27,14 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CUT), F.lit(0))
 
 
-def recipe(text: Column) -> Column:
-    """The ordered identifiers of a text's chunks."""
-    return F.transform(chunks(text), lambda c: F.unhex(F.sha2(c, 256)))
+def parts(text: Column) -> Column:
+    """array<struct<id, full>>: of each chunk in order the 64-bit identifier and the SHA-256 digest that verifies it."""
+    return F.transform(chunks(text), lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("full")))
+
+
+def ambiguous(rows: DataFrame) -> DataFrame:
+    """Identifiers that more than one distinct chunk of the corpus has. The aggregation is the deduplication: one row a distinct chunk leaves each task."""
+    return rows.select(F.explode("parts").alias("p")).groupBy("p.id").agg(F.min("p.full").alias("lo"), F.max("p.full").alias("hi")).where("lo <> hi")
 
 
 def chunk_table(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -39,13 +45,16 @@ def chunk_table(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, recipe, text_sha256): a row for each row."""
-    return docs.select(F.col(id_column).alias("doc_id"), recipe(F.col(text_column)).alias("recipe"), F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("text_sha256"))
+    """(doc_id, recipe, text_sha256): a row for each row; stored."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = stored(docs.select(F.col(id_column).alias("doc_id"), parts(F.col(text_column)).alias("parts"), F.sha2(text, 256).alias("text_sha256")))
+    field = "full" if ambiguous(rows).take(1) else "id"
+    return rows.select("doc_id", F.transform("parts", lambda p: p[field]).alias("recipe"), "text_sha256")
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): a row for each row."""
-    rows = stored(recipes(docs, id_column, text_column))
+    rows = recipes(docs, id_column, text_column)
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     out = attach(rows, groups, "recipe", "doc_id")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

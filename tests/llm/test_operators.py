@@ -278,6 +278,10 @@ def test_chunks(spark, odd, nothing, sf_dir):
     got = op6_chunks.exact_groups(odd).collect()
     assert len(got) == len(ODD) and {(r.keep_id, r.group_size) for r in got if r.doc_id in (1, 2)} == {(2, 3)} and all(r.kept for r in got if r.doc_id == 4)
     assert op6_chunks.exact_groups(nothing).count() == 0
+    rows = odd.select("doc_id", op6_chunks.parts(F.col("text")).alias("parts"))
+    assert op6_chunks.ambiguous(rows).count() == 0
+    forged = rows.withColumn("parts", F.transform("parts", lambda p: F.struct(F.lit(7).cast("bigint").alias("id"), p["full"].alias("full"))))
+    assert op6_chunks.ambiguous(forged).count() == 1
     stored = op6_chunks.chunk_table(odd).collect()
     assert all(r.verified and hashlib.sha256(r.chunk.encode()).digest() == bytes(r.chunk_id) for r in stored) and max(r.uses for r in stored) >= 3
     kept = op6_chunks.one_each(odd)
