@@ -94,6 +94,29 @@ class Store:
         """Deletes and stores in one version: a fork never leaves a gap that can be seen."""
         return self.commit(entity, trees=trees, gone=gone)
 
+    def truncate(self, entity: str) -> int:
+        """Deletes all rows of an entity and below it; older versions can still be read."""
+        old = self.manifest()
+        gone = set(self.registry.descendants(entity))
+        tables = {e: {} if e in gone else x for e, x in old["tables"].items()}
+        dictionaries = {k: p for k, p in old["dictionaries"].items() if k.split(".")[0] not in gone}
+        self._publish({"version": old["version"] + 1, "tables": tables, "dictionaries": dictionaries})
+        return old["version"] + 1
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Deletes files that none of the last `keep` versions name. Not while another commit is under way."""
+        latest = self.version()
+        kept = [self.manifest(v) for v in range(max(1, latest - keep + 1), latest + 1)]
+        named = {p.split("/_bucket=")[0] for m in kept for x in m["tables"].values() for p in x.values()} | {p for m in kept for p in m["dictionaries"].values()}
+        for top in self.fs.listStatus(self.root):
+            name = top.getPath().getName()
+            if name != "_manifests":
+                for s in self.fs.listStatus(top.getPath()):
+                    if f"{name}/{s.getPath().getName()}" not in named:
+                        self.fs.delete(s.getPath(), True)
+        for v in range(1, latest - keep + 1):
+            self.fs.delete(self._at("_manifests", f"{v}.json"), False)
+
     def _bucket(self, entity: str):
         return F.floor(F.col(self.registry.keys(entity)[0]) / self.span).cast("long")
 

@@ -110,6 +110,10 @@ class Settings:
                 found[n] = v
         return Settings(**{n: (float if "float" in str(names[n]) else int)(v) for n, v in found.items()})
 
+    def cache_mb(self, memory_mb: int) -> int:
+        """The same ratio as a share of the memory between a 64th and a quarter, 1 GB at least."""
+        return max(1024, round(memory_mb / 64 + (memory_mb / 4 - memory_mb / 64) * min(1.0, max(0.0, self.parallelism))))
+
     def tasks(self, cores: int) -> int:
         """A ratio from 0 to 1 as a number between a sixteenth of the cores and all."""
         return max(1, round(cores / 16 + (cores - cores / 16) * min(1.0, max(0.0, self.parallelism))))

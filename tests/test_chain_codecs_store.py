@@ -121,6 +121,12 @@ def test_store(spark, tmp_path):
     # an older version can still be read whole; a range opens only its buckets
     assert compose(s.catalog(2), "Block").count() == 9 and s.table("Block").count() == 8
     assert len(s.catalog(roots=(8, 10)).frame("Block").inputFiles()) == 1
+    s.vacuum()
+    assert compose(s.catalog(), "Block").count() == 8
+    with pytest.raises(Exception):
+        s.manifest(2)
+    s.truncate("Block")
+    assert s.table("Tx").count() == 0 and s.dictionary("Tx", "address") is None
 
 
 def test_ingest_links_and_replaces(spark, tmp_path):
@@ -190,7 +196,7 @@ def test_raw_blocks_and_retry(spark, tmp_path):
 def test_settings(tmp_path):
     (tmp_path / "s.toml").write_text("start = 5\n")
     s = I.Settings.load(str(tmp_path / "s.toml"), environ={"ARBOREL__NON_DURABLE_BATCHES": "3"})
-    assert s.start == 5 and s.non_durable_batches == 3 and s.tasks(16) == 8
+    assert s.start == 5 and s.non_durable_batches == 3 and s.tasks(16) == 8 and s.cache_mb(64_000) == 8500
     assert [I.durable(b, 3, "batch") for b in range(4)] == [False, False, True, False] and I.durable(0, 3, "continuous")
 
 
