@@ -28,7 +28,7 @@ from .common import small_batches, table
 DECAY, SPAN, LANDMARKS, PLAIN = 0.6, 8, 192, 96
 #: Labelled rows of each class used for training, at most.
 SAMPLE = 2000
-ROUNDS, SEED, CUT, LIFT, LEAST_Z, WORST = 5, 11, 0.3, 5.0, 2.5, 5
+ROUNDS, SEED, CUT, LIFT, LEAST_Z, WORST = 7, 11, 0.3, 5.0, 2.5, 5
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 250_000
 STEPS = np.array([(0, j, k) for k in range(2, SPAN) for j in range(1, k)])
@@ -204,6 +204,7 @@ def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Mod
     cases = [c for s, t in zip(sets, y) if t for c in [s[z[s] >= 0.6 * LEAST_Z]] if len(c)]
     witness = [int(c[place[c].argmin()]) for c in cases if place[c].min() < LANDMARKS]
     hard: list[int] = []
+    best, least = constant, np.inf
     for _ in range(ROUNDS):
         kernel = Kernel([words[i] for i in landmarks])
         features = kernel.dense([words[i] for i in landmarks])
@@ -216,7 +217,7 @@ def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Mod
         label = np.r_[np.ones(len(positive)), np.zeros(len(some) + len(near))]
         often = np.sqrt(clean[some + near].astype(float))  # a clean word counts by how often it would mislead
         often[: len(some)] *= 0.5 / (often[: len(some)].sum() + 1e-9)
-        often[len(some) :] *= 2.0 / (often[len(some) :].sum() + 1e-9)
+        often[len(some) :] *= 4.0 / (often[len(some) :].sum() + 1e-9)
         v = hinge(x, label, np.r_[np.full(len(positive), 1 / len(positive)), often])
         model = Model(kernel, ((root @ v[:-1]) @ features).astype(np.float32), float(v[-1]))
         margins = model.words(words)
@@ -229,10 +230,16 @@ def trained(texts: list[str | None], labels: list[int], seed: int = SEED) -> Mod
         worst = [margins[s].max() for s, t in zip(sets, y) if not t and len(s)]
         bar = max(0.0, float(np.quantile(worst, 0.98))) if worst else 0.0
         witness = [int(c[margins[c].argmax()]) for c in cases if margins[c].max() > bar] or witness
-    profiles = np.array([model.profile(margins[b]) for b in bags])
-    model.mean, model.scale = profiles.mean(axis=0), profiles.std(axis=0) + 1e-6
-    model.slopes = logistic((profiles - model.mean) / model.scale, y)
-    return model
+        # of the rounds the one whose scores fit the training documents best
+        profiles = np.array([model.profile(margins[b]) for b in bags])
+        model.mean, model.scale = profiles.mean(axis=0), profiles.std(axis=0) + 1e-6
+        x = (profiles - model.mean) / model.scale
+        model.slopes = logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ model.slopes[:-1] + model.slopes[-1], -30, 30)))
+        loss = -np.mean(np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-9, 1)))
+        if loss < least:
+            best, least = model, loss
+    return best
 
 
 def held_out(id_column: str = "doc_id"):
