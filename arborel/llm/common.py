@@ -120,12 +120,24 @@ def _small_star(edges: DataFrame, most: int) -> DataFrame:
 BITMAP_BITS = 1 << 27
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose long `key` may be in wanted.`key`: all that are, and few others as long as the wanted keys are fewer than
-    BITMAP_BITS. A bitmap of fixed size is broadcast, so wide rows that nobody wants are dropped before any shuffle; an exact join follows."""
+def flagged(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with `_maybe`: true where the long `key` is in wanted.`key`, and for few others as long as the wanted keys are fewer than
+    BITMAP_BITS. A bitmap of fixed size is broadcast, so no row moves."""
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
     bits = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
     keyed = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_at", F.bitmap_bit_position("_p").cast("int"))
-    met = keyed.join(F.broadcast(bits), "_bucket")
+    met = keyed.join(F.broadcast(bits), "_bucket", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
-    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) > 0).select(*rows.columns)
+    return met.select(*[met[c] for c in rows.columns], F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) > 0, F.lit(False)).alias("_maybe"))
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows that are wanted, and few others: wide rows that nobody wants are dropped before any shuffle. An exact join follows."""
+    return flagged(rows, key, wanted).where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left_anti gone on non-null keys, the first a long. Rows that the bitmap clears stay where they are; only the others are shuffled."""
+    marked = flagged(rows, keys[0], gone)
+    cleared = marked.where("not _maybe").drop("_maybe")
+    return cleared.unionByName(marked.where("_maybe").drop("_maybe").join(gone, keys, "left_anti"))

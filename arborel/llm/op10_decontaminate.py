@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored, table
+from .common import stored, table, without
 
 WIDTH, MIN_WORDS, LITERALS, COVER = 8, 5, 4, 0.5
 #: Benchmark windows up to which their table is broadcast (28 bytes each); a longer one is joined by a shuffle.
@@ -118,7 +118,7 @@ def consistent(docs: DataFrame, bench: DataFrame, lines: DataFrame, id_column: s
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows that hold no benchmark item, with all their columns."""
     bad = stored(leaks(docs, bench).select(F.col("rk").alias("_bad")).distinct())
-    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")
+    return without(docs.withColumn("_bad", row_key()), bad, ["_bad"]).drop("_bad")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -89,16 +89,18 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, copies: int) -> dict[
     return {(p, s): x for p in capacity for b, left, _, _ in graph[("p", p)] if b[0] == "s" for s in [b[1]] if (x := copies * capacity[p] - left) > 0}
 
 
-def mixed(docs: DataFrame, members: Column, weights=None, size: Column | None = None, share: float = SHARE, copies: int = COPIES, seed: int = SEED, id_column: str = "doc_id"):
+def mixed(docs: DataFrame, members: Column, weights=None, size: Column | None = None, share: float = SHARE, copies: int = COPIES, seed: int = SEED, id_column: str = "doc_id", keep: list[str] | None = None):
     """The mix of docs. members: array of a document's sources (null allowed within); weights: source -> weight (None: 3, 1, 2, repeating, by
-    the sources' order, null last). Returns (documents with `size`, `pattern` and `taken` words, {source: (size, target)})."""
+    the sources' order, null last). keep: columns of docs to carry along (they are read again, and never shuffled but for the documents of the range with
+    the cut). Returns (documents with `size`, `pattern` and `taken` words, {source: (size, target)}); with keep, those taken, the kept columns and `taken`."""
     spark = docs.sparkSession
     size = words_in(F.col("text")) if size is None else size
     # null sorts last; a source may be any string, so null is told apart by a flag
     marked = F.array_sort(F.array_distinct(F.transform(members, lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name")))))
-    sized = stored(docs.select(F.col(id_column).alias("doc_id"), marked.alias("pattern"), size.alias("size")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed))))
+    rows = docs.select(F.col(id_column).alias("_id"), marked.alias("pattern"), size.alias("_words"), F.xxhash64(F.col(id_column), F.lit(seed)).alias("h"), F.struct(*(keep or [])).alias("_kept") if keep else F.lit(True).alias("_kept"))
+    sized = stored(rows.drop("_kept"))
     bin_ = F.shiftrightunsigned("h", 64 - 12).cast("int")
-    binned = sized.groupBy("pattern", bin_.alias("bin")).agg(F.sum("size").alias("words"))
+    binned = sized.groupBy("pattern", bin_.alias("bin")).agg(F.sum("_words").alias("words"))
     binned = stored(binned)
     totals = binned.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
@@ -123,23 +125,25 @@ def mixed(docs: DataFrame, members: Column, weights=None, size: Column | None =
     cuts = binned.withColumn("before", before).join(F.broadcast(plan), "pattern")  # plan: at most MOST_PATTERNS rows
     cuts = cuts.where("before < rest and before + words >= rest").select("pattern", F.col("bin").alias("cut"), "before")
     plan = plan.join(F.broadcast(cuts), "pattern", "left")  # one row a pattern at most
-    rows = sized.withColumn("bin", bin_).join(F.broadcast(plan), "pattern")
+    rows = (rows if keep else sized).withColumn("bin", bin_).join(F.broadcast(plan), "pattern")
     inside = rows.where(F.col("bin") == F.col("cut"))
-    order = Window.partitionBy("pattern", "bin").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("pattern", "bin").orderBy("h", "_id", "_words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # the document in which the rest runs out is taken up to there
-    inside = inside.withColumn("again", F.greatest(F.lit(0), F.least("size", F.col("rest") - (F.col("before") + F.sum("size").over(order) - F.col("size")))))
-    outside = rows.where(F.col("cut").isNull() | (F.col("bin") != F.col("cut"))).withColumn("again", F.when(F.col("bin") < F.coalesce("cut", F.lit(-1)), F.col("size")).otherwise(F.lit(0)))
-    taken = F.col("whole") * F.col("size") + F.col("again")
-    out = inside.unionByName(outside).select("doc_id", "pattern", "size", taken.alias("taken"))
+    inside = inside.withColumn("again", F.greatest(F.lit(0), F.least("_words", F.col("rest") - (F.col("before") + F.sum("_words").over(order) - F.col("_words")))))
+    outside = rows.where(F.col("cut").isNull() | (F.col("bin") != F.col("cut"))).withColumn("again", F.when(F.col("bin") < F.coalesce("cut", F.lit(-1)), F.col("_words")).otherwise(F.lit(0)))
+    taken = F.col("whole") * F.col("_words") + F.col("again")
+    out = inside.unionByName(outside)
+    if keep:
+        out = out.where(taken > 0).select(*[F.col("_kept")[c].alias(c) for c in keep], taken.alias("taken"))
+    else:
+        out = out.select(F.col("_id").alias("doc_id"), "pattern", F.col("_words").alias("size"), taken.alias("taken"))
     return out, {s: (sizes[s], target[s]) for s in names}
 
 
 def chosen(docs: DataFrame) -> DataFrame:
     """The documents that the mix of their sources takes, with all their columns and `taken`, the words to take of each (those of a second
-    pass included). Rows that repeat under one doc_id and size get the same number each, the largest among them."""
-    out, _ = mixed(docs, F.array("source"))
-    kept = stored(out.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("taken")))
-    return docs.drop("taken").withColumn("_n", words_in(F.col("text"))).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).drop("_id", "_size", "_n")
+    pass included); a column of that name gives way."""
+    return mixed(docs, F.array("source"), keep=[c for c in docs.columns if c != "taken"])[0]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import attach, stored, table
+from .common import attach, stored, table, without
 
 MIN, MAX = 512, 4096
 #: lazily up to a trigger letter before white space; else up to MAX characters; `.` takes line ends too
@@ -45,30 +45,30 @@ def chunk_table(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, recipe, text_sha256): a row for each row; stored."""
+    """(doc_id, place, recipe, text_sha256): a row for each row; place is a hash of its id and text. Stored."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = stored(docs.select(F.col(id_column).alias("doc_id"), parts(F.col(text_column)).alias("parts"), F.sha2(text, 256).alias("text_sha256")))
+    rows = stored(docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column, text_column).alias("place"), parts(F.col(text_column)).alias("parts"), F.sha2(text, 256).alias("text_sha256")))
     field = "full" if ambiguous(rows).take(1) else "id"
-    return rows.select("doc_id", F.transform("parts", lambda p: p[field]).alias("recipe"), "text_sha256")
+    return rows.select("doc_id", "place", F.transform("parts", lambda p: p[field]).alias("recipe"), "text_sha256")
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256): a row for each row."""
+    """(doc_id, keep_id, group_size, kept, text_sha256, place): a row for each row."""
     rows = recipes(docs, id_column, text_column)
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     out = attach(rows, groups, "recipe", "doc_id")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "place")
 
 
 def one_each(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat under one id, one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha2", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keyed.join(kept, keyed.doc_id.eqNullSafe(F.col("_id")) & (keyed._sha2 == F.col("_sha")), "left_semi").drop("_sha2")
+    gone = stored(exact_groups(docs).where("not kept").select(F.col("place").alias("_place"), F.col("text_sha256").alias("_sha")).distinct())
+    keyed = docs.withColumn("_place", F.xxhash64("doc_id", "text")).withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return without(keyed, gone, ["_place", "_sha"]).drop("_place", "_sha")
 
 
 def op6_chunks(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("place")
 
 
 SQL = """
