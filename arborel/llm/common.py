@@ -124,11 +124,14 @@ def flagged(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """rows with `_maybe`: true where the long `key` is in wanted.`key`, and for few others as long as the wanted keys are fewer than
     BITMAP_BITS. A bitmap of fixed size is broadcast, so no row moves."""
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
-    bits = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    bits = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_b"))
+    # words of four bytes, so that a test is a look-up and a shift
+    unsigned = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.hex(F.substring(F.col("_b"), i * 4 + 1, F.lit(4))), 16, 10).cast("bigint"))
+    bits = bits.select("_bucket", F.transform(unsigned, lambda w: F.when(w >= 1 << 31, w - (1 << 32)).otherwise(w).cast("int")).alias("_words"))
     keyed = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_at", F.bitmap_bit_position("_p").cast("int"))
     met = keyed.join(F.broadcast(bits), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
-    return met.select(*[met[c] for c in rows.columns], F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) > 0, F.lit(False)).alias("_maybe"))
+    bit = F.expr("shiftright(get(_words, _at div 32), (3 - (_at div 8) % 4) * 8 + _at % 8) & 1")
+    return met.select(*[met[c] for c in rows.columns], F.coalesce(bit == 1, F.lit(False)).alias("_maybe"))
 
 
 def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

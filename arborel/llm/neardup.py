@@ -105,24 +105,27 @@ def banded(batches):
 
 
 def likely(regs: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, threshold: float, mantissa: int, exact: bool = True) -> np.ndarray:
-    """Those of `others` whose collision-corrected estimate of the Jaccard similarity with i doesn't rule `threshold` out.
+    """Those of `others` whose similarity with i may reach the threshold."""
+    return others[alike(regs, sizes, i, others, threshold, mantissa, exact)] if len(others) else others
+
+
+def alike(regs: np.ndarray, sizes: np.ndarray, i, j, threshold: float, mantissa: int, exact: bool) -> np.ndarray:
+    """Of each pair (i, j) whether sizes and the collision-corrected estimate of the Jaccard similarity don't rule `threshold` out.
 
     Registers of unequal minima agree by chance in about one of 2 ** mantissa of the buckets that both fill with equal leading-zero
     counts (a third of them); the estimate takes this from the share of agreeing buckets. The filled buckets sample the union without
     repeats, so the error vanishes for sets that are small beside the number of buckets."""
-    small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-    if exact:
-        others = others[small >= threshold * large - 1e-9]  # the sizes alone rule the others out
-    if not len(others):
-        return others
-    a, b = regs[i], regs[others]
-    filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
-    agree = ((a == b) & (a > 0)).sum(axis=1) / filled
+    a, b = regs[i], regs[j]
+    filled = np.maximum(((a > 0) | (b > 0)).sum(axis=-1), 1)
+    agree = ((a == b) & (a > 0)).sum(axis=-1) / filled
     chance = 2.0**-mantissa / 3
     estimate = (agree - chance) / (1 - chance)
-    union = np.maximum((sizes[others] + sizes[i]) / (1 + threshold), filled)
+    union = np.maximum((sizes[j] + sizes[i]) / (1 + threshold), filled)
     error = np.sqrt(threshold * (1 - threshold) / filled * (1 - filled / union))
-    return others[estimate >= threshold - SLACK * error - 1.5 / filled]
+    fits = estimate >= threshold - SLACK * error - 1.5 / filled
+    if exact:  # the sizes alone rule some out
+        fits &= np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i]) - 1e-9
+    return fits
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -175,13 +178,15 @@ def bucketed(threshold: float, mantissa: int, exact: bool):
     """Links within each band key; rows (band, node, n, sig) come sorted by band, and a key's rows may run over several batches."""
 
     def linked(band, nodes, sizes, sigs):
-        out = []
         edges = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a > 1:
-                regs = np.frombuffer(b"".join(sigs[a:b]), np.uint16).reshape(b - a, -1)
-                out += [(nodes[a + i], nodes[a + j]) for i, j in spanned(regs, sizes[a:b], threshold, mantissa, exact)]
-        return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], names=["a", "b"])
+        regs = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), -1)
+        counts = np.diff(edges)
+        pairs = edges[:-1][counts == 2]  # most keys: all at once
+        near = pairs[alike(regs, sizes, pairs, pairs + 1, threshold, mantissa, exact)]
+        out = list(zip(nodes[near].tolist(), nodes[near + 1].tolist()))
+        for a, n in zip(edges[:-1][counts > 2].tolist(), counts[counts > 2].tolist()):
+            out += [(int(nodes[a + i]), int(nodes[a + j])) for i, j in spanned(regs[a : a + n], sizes[a : a + n], threshold, mantissa, exact)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     def run(batches):
         rest = None
@@ -201,24 +206,46 @@ def bucketed(threshold: float, mantissa: int, exact: bool):
     return run
 
 
-def searched(decode, bits: int, mantissa: int, threshold: float, labelled: bool):
-    """Search of one block: its rows are (node, payload); decode makes the sorted uint64 array of the set."""
+def searched(decode, bits: int, mantissa: int, threshold: float, keys: list[str]):
+    """Search of blocks: rows come sorted by `keys`, those of one block one after the other, perhaps over several batches. decode makes the sorted
+    uint64 array of a payload's set. Rows with comp and query are those of blocks whose classes are known in part."""
 
-    def run(group: pa.Table) -> pa.Table:
-        _, keep = np.unique(group["node"].to_numpy(), return_index=True)
-        group = group.take(pa.array(keep))
-        nodes = group["node"].to_numpy()
-        sets = [decode(x) for x in group["payload"].to_pylist()]
+    def block(group: pa.Table) -> list[tuple[int, int]]:
+        nodes, keep = np.unique(group["node"].to_numpy(), return_index=True)
+        if len(nodes) < 2:
+            return []
+        payloads = group["payload"].to_pylist()
+        sets = [decode(payloads[i]) for i in keep]
         regs = np.array([registers(x, bits, mantissa) for x in sets])
-        label = (group["comp"].to_numpy().copy(), group["query"].to_numpy()) if labelled else None
-        links = search(regs, np.array([len(x) for x in sets]), sets, threshold, mantissa, label)
-        return pa.table({"a": pa.array([int(nodes[i]) for i, _ in links], pa.int64()), "b": pa.array([int(nodes[j]) for _, j in links], pa.int64())})
+        label = None
+        if "comp" in group.column_names:
+            label = (group["comp"].to_numpy()[keep].copy(), group["query"].to_numpy()[keep])
+        return [(int(nodes[i]), int(nodes[j])) for i, j in search(regs, np.array([len(x) for x in sets]), sets, threshold, mantissa, label)]
+
+    def run(batches):
+        for groups in grouped(batches, keys):
+            links = [link for g in groups for link in block(g)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def grouped(batches, keys: list[str]):
+    """For each batch the groups of equal keys that end in it, as tables. Spares a stream of its own for each of many small groups."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([*rest, batch])
+        starts = np.flatnonzero(np.logical_or.reduce([np.r_[True, (c := rows[k].to_numpy())[1:] != c[:-1]] for k in keys]))
+        yield [rows.slice(a, b - a) for a, b in zip(starts[:-1], starts[1:])]
+        rest = rows.slice(starts[-1]).to_batches()
+    if rest:
+        yield [pa.Table.from_batches(rest)]
+
+
 def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, mantissa: int, exact: bool = True) -> DataFrame:
-    """(digest, node, comp, copies): for each distinct set its node, the smallest node of its class, and its number of items.
+    """(digest, node, comp, copies, linked): for each distinct set its node, the smallest node of its class, its number of items, and whether it has links.
     sketches is a stored table with a unique long `rid`; a node is the smallest rid of its digest. fetch takes (place, digest, ...) of candidates
     and returns those rows with their payload (and without place and digest); decode makes the set of a payload. exact: n is the set's size."""
     some = sketches.where("digest is not null")
@@ -239,8 +266,8 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
     anchors = picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = placed.select("cluster", "node", "block").union(anchors).distinct()
     where = firsts.select("node", "place", "digest")
-    links = fetch(stored(where.join(dealt, "node"))).groupBy("cluster", "block").applyInArrow(searched(decode, bits, mantissa, threshold, False), "a bigint, b bigint")
-    links = stored(links)
+    search_by = lambda rows, keys: rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(searched(decode, bits, mantissa, threshold, keys), "a bigint, b bigint")
+    links = stored(search_by(fetch(stored(where.join(dealt, "node"))), ["cluster", "block"]))
     known = stored(components(links))
 
     # clusters of several blocks: what lies outside the largest class against all
@@ -256,11 +283,11 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
         against = open_.withColumn("query", F.lit(False)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         asking = open_.where("query").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         both = asking.unionByName(against).groupBy("cluster", "block", "part", "node", "comp").agg(F.max("query").alias("query"))
-        more = fetch(stored(where.join(both, "node"))).groupBy("cluster", "block", "part").applyInArrow(searched(decode, bits, mantissa, threshold, True), "a bigint, b bigint")
+        more = search_by(fetch(stored(where.join(both, "node"))), ["cluster", "block", "part"])
         # classes known so far are stars, so they stand for the links already found
         links = known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)
         known = stored(components(links))
-    return groups.join(known, "node", "left").select("digest", "node", F.coalesce("comp", "node").alias("comp"), "copies")
+    return groups.join(known, "node", "left").select("digest", "node", F.coalesce("comp", "node").alias("comp"), "copies", F.col("comp").isNotNull().alias("linked"))
 
 
 def likely_links(firsts: DataFrame, keys: int, threshold: float, mantissa: int, exact: bool) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, maybe_in, small_batches, stored, table
+from .common import attach, flagged, maybe_in, small_batches, stored, table
 from .neardup import classes, mix
 
 SHINGLE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 0.8, 6, 10
@@ -115,14 +115,17 @@ def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
         near = maybe_in(got, "_key", wanted.select(F.xxhash64("digest").alias("_key")))
         return near.dropDuplicates(["digest"]).join(wanted.drop("place"), "digest").drop("digest", "_key")
 
-    found = stored(classes(lines, fetch, char_set, threshold, BUCKET_BITS, MANTISSA, exact=False).select("digest", "comp"))
+    found = classes(lines, fetch, char_set, threshold, BUCKET_BITS, MANTISSA, exact=False)
+    # lines of classes that hold one line only stay as they are and meet nothing
+    found = stored(found.withColumn("lone", (F.col("copies") == 1) & ~F.col("linked")).where("not lone").select("digest", "comp"))
+    slim = lines.select("rid", "doc_id", "place", "line", "digest", F.xxhash64("digest").alias("_key"))
+    marked = flagged(slim, "_key", found.select(F.xxhash64("digest").alias("_key"))).drop("_key")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "line", "rid")
-    slim = lines.select("rid", "doc_id", "place", "line", "digest")
-    items = stored(attach(slim, found, "digest", "rid"))
+    items = stored(attach(marked.where("_maybe and digest is not null").drop("_maybe"), found, "digest", "rid"))
     first = items.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_first"))
     # the line that stays is found by its own row; all others of a component go
-    kept = items.join(stored(first), items.rid == F.col("_first"), "left")
-    return kept.select("doc_id", "place", "line", (F.col("comp").isNull() | F.col("_first").isNotNull()).alias("kept"))
+    judged = items.join(stored(first), items.rid == F.col("_first"), "left").select("doc_id", "place", "line", (F.col("comp").isNull() | F.col("_first").isNotNull()).alias("kept"))
+    return judged.union(marked.where("not _maybe or digest is null").select("doc_id", "place", "line", F.lit(True)))
 
 
 def without_fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
