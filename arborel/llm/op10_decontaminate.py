@@ -1,10 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names (capitalised words after a small letter or comma) and units after numbers become typed placeholders; the rest is lower-cased and cut
-into words of letters. Windows of WIDTH template words are hashed. The benchmark gives its windows at every offset, documents at every
-`stride`-th, so a shared passage of WIDTH + stride - 1 words always meets; the stride is the largest, up to 4, with which half of the
-shortest item can't slip through. A document is contaminated by an item if, along one alignment, at least half of the item's windows are
-covered and the slots are consistent: one value of the item always stands for one value in the document and the other way round, so a
+into words of letters. Windows of WIDTH template words are hashed, at every offset on both sides. A document is contaminated by an item if,
+along one alignment, at least half of the item's windows (COVER, counted exactly) are covered and the slots are consistent: one value of the item always stands for one value in the document and the other way round, so a
 question asked anew with other numbers is caught, and a template that fits by chance is not.
 
 Windows with fewer than LITERALS words besides placeholders say nothing and are left out. Items shorter than WIDTH words are matched by
@@ -16,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored, table, without
+from .common import maybe_in, stored, table, without
 
 WIDTH, MIN_WORDS, LITERALS, COVER = 8, 5, 4, 0.5
 #: Benchmark windows up to which their table is broadcast (28 bytes each); a longer one is joined by a shuffle.
@@ -41,11 +39,11 @@ def template(text: Column) -> Column:
     return F.filter(F.split(spaced, r"[^\p{L}<>]+"), lambda w: w != "")
 
 
-def windows(words: Column, width: int, stride: int) -> Column:
-    """array<struct<p, h>>: hashes of the windows at every stride-th word."""
+def windows(words: Column, width: int) -> Column:
+    """array<bigint>: hashes of the windows at every word; no structs, as long texts have many."""
     last = F.size(words) - width
-    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("p"), F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h")))
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
 
 
 def literals(words: Column, i, width: int) -> Column:
@@ -58,8 +56,8 @@ def benchmark_windows(bench: DataFrame, width: int = WIDTH, id_column: str = "it
     parts = []
     for w in range(MIN_WORDS, width + 1):
         some = items.where(F.size("words") >= w if w == width else F.size("words") == w)
-        cut = some.select("item_id", "words", F.explode(windows(F.col("words"), w, 1)).alias("x")).where(literals(F.col("words"), F.col("x.p"), w) >= min(LITERALS, w - 1))
-        parts.append(cut.select("item_id", F.col("x.p").alias("q"), F.col("x.h").alias("h"), F.lit(w).alias("width")))
+        cut = some.select("item_id", "words", F.posexplode(windows(F.col("words"), w)).alias("q", "h")).where(literals(F.col("words"), F.col("q"), w) >= min(LITERALS, w - 1))
+        parts.append(cut.select("item_id", "q", "h", F.lit(w).alias("width")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -71,22 +69,21 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
 
 
 def leaks(docs: DataFrame, bench: DataFrame, cover: float = COVER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(rk, item_id, windows): the items found in each row; windows: the item's covered windows along the best alignment, as far as sampled."""
+    """(rk, item_id, windows): the items found in each row; windows: the item's covered windows along the best alignment."""
     wanted = benchmark_windows(bench)
-    facts = wanted.groupBy("width").agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("n")).collect()  # at most WIDTH rows
-    stride = {r["width"]: max(1, min(4, -(-r["least"] // 2))) if r["width"] == WIDTH else 1 for r in facts}
+    facts = wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # at most WIDTH rows
     few = sum(r["n"] for r in facts) <= BROADCAST_WINDOWS
     rows = docs.select(row_key(id_column, text_column).alias("rk"), template(F.col(text_column)).alias("words"))
     met = None
-    for w, s in sorted(stride.items()):
-        cut = rows.select("rk", F.explode(windows(F.col("words"), w, s)).alias("x")).select("rk", F.col("x.p").alias("p"), F.col("x.h").alias("h"))
-        some = wanted.where(F.col("width") == w).select("item_id", "q", "h", "m", F.lit(s).alias("stride"))
-        hit = cut.join(F.broadcast(some) if few else some, "h").select("rk", "item_id", "m", "stride", "p", (F.col("p") - F.col("q")).alias("shift"))
+    for w in sorted(r["width"] for r in facts):
+        cut = rows.select("rk", F.posexplode(windows(F.col("words"), w)).alias("p", "h"))
+        some = wanted.where(F.col("width") == w).select("item_id", "q", "h", "m")
+        hit = (cut.join(F.broadcast(some), "h") if few else maybe_in(cut, "h", some).join(some, "h")).select("rk", "item_id", "m", "p", (F.col("p") - F.col("q")).alias("shift"))
         met = hit if met is None else met.union(hit)
     if met is None:
         return docs.select(row_key(id_column, text_column).alias("rk"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("windows")).where("false")
-    lines = met.groupBy("rk", "item_id", "shift", "m", "stride").agg(F.countDistinct("p").alias("hits"))
-    lines = stored(lines.where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("m") * cover) / F.col("stride")))))
+    lines = met.groupBy("rk", "item_id", "shift", "m").agg(F.countDistinct("p").alias("hits"))
+    lines = stored(lines.where(F.col("hits") >= F.greatest(F.lit(1), F.ceil(F.col("m") * cover))))
     return consistent(docs, bench, lines, id_column, text_column)
 
 

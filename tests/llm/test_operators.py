@@ -464,3 +464,22 @@ def test_decontaminate(spark, odd, nothing):
     assert sorted(r.doc_id for r in op10_decontaminate.without_leaks(df, bench).collect()) == [11, 13, 16, 17]
     assert op10_decontaminate.without_leaks(odd, bench).count() == len(ODD) and op10_decontaminate.without_leaks(odd, bench).columns == odd.columns
     assert op10_decontaminate.leaks(nothing, bench).count() == 0 and op10_decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_decontaminate_every_offset(spark):
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    item = [letters(7919 * k + 5) for k in range(15)]
+    long = [letters(104729 * k + 11) for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id bigint, text string")
+    docs, want = [], set()
+    for off in range(8):
+        other = [letters(15485863 * k + 3) for k in range(30)]
+        for n in (8, 10, 11, 12, 15):  # 1, 3, 4, 5 and 8 of the 8 windows; 4 are needed
+            docs.append((len(docs), " ".join(other[:off] + item[:n] + other[off:]), "a"))
+            want |= {(len(docs) - 1, 1, n - 7)} if n >= 11 else set()
+        for n in (23, 24):  # 16 and 17 of 33 windows; 17 are needed
+            docs.append((len(docs), " ".join(other[:off] + long[5 : 5 + n] + other[off:]), "a"))
+            want |= {(len(docs) - 1, 2, n - 7)} if n == 24 else set()
+    df = frame(spark, docs)
+    keys = {r.k: r.doc_id for r in df.select("doc_id", op10_decontaminate.row_key().alias("k")).collect()}
+    assert {(keys[r.rk], r.item_id, r.windows) for r in op10_decontaminate.leaks(df, bench).collect()} == want
