@@ -2,8 +2,8 @@
 
 Strong secrets are found by three patterns. Weak candidates (short access identifiers, bare mixed-class strings, endpoints with a
 host) alone say nothing; they are reported only where complementary parts stand in one scope: within WINDOW characters of each other, an
-identifier or endpoint with a secret, weak or strong. Parts are interval-joined on (document, position divided by WINDOW), each part meeting its own and
-the neighbouring cells, so a document of many parts never forms all pairs.
+identifier or endpoint with a secret, weak or strong. Parts are interval-joined on (document, position divided by WINDOW): a part lies in all cells
+from its start to its end and meets those up to WINDOW before and behind, so a document of many parts never forms all pairs.
 
 Positions are code points, ends exclusive. A null or empty text has no spans; rows that repeat get the same spans each. A row is known
 by two 64-bit hashes of (doc_id, text). Very long texts are scanned whole. Other columns aren't read.
@@ -63,9 +63,10 @@ def linked(found: DataFrame, window: int = WINDOW) -> DataFrame:
     outside = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     # of complementary roles: whom (1) are identifiers and endpoints, what (2) are secrets
     parts = rows.select("r1", "r2", F.explode(F.concat("base", outside)).alias("s"))
-    parts = parts.withColumn("role", F.when(F.col("s.kind").isin(1, 3, 5), 1).otherwise(2)).withColumn("cell", F.floor(F.col("s.start") / window))
-    near = parts.select("r1", "r2", F.col("s").alias("t"), F.col("role").alias("role2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    met = parts.where("s.kind >= 3").join(near, ["r1", "r2", "cell"]).where("role <> role2 and t.start < s.end + {0} and s.start < t.end + {0}".format(window))
+    parts = parts.withColumn("role", F.when(F.col("s.kind").isin(1, 3, 5), 1).otherwise(2))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / window), F.floor(b / window))).alias("cell")
+    near = parts.select("r1", "r2", F.col("s").alias("t"), F.col("role").alias("role2"), cells(F.col("s.start") - window, F.col("s.end") + window))
+    met = parts.where("s.kind >= 3").select("r1", "r2", "s", "role", cells(F.col("s.start"), F.col("s.end") - 1)).join(near, ["r1", "r2", "cell"]).where("role <> role2 and t.start < s.end + {0} and s.start < t.end + {0}".format(window))
     return met.groupBy("r1", "r2").agg(F.collect_set("s").alias("added"))
 
 

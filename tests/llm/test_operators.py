@@ -103,6 +103,26 @@ def test_secrets(spark, odd, nothing):
     assert op2_secrets.secrets(odd).count() == len(ODD) and op2_secrets.secrets(nothing).count() == 0
 
 
+def test_secrets_long_parts(spark):
+    end = "https://host.example.com"
+    docs, want = [], {}
+    for n in (30, 300, 600, 5000):
+        part = "token=" + "q." * (n // 2)
+        for off in range(0, 256, 37):
+            for gap in (20, 240, 255, 256, 300):  # of the ends' distance
+                for text, at in ((" " * off + part + " " * gap + end, off + len(part) + gap), (" " * off + end + " " * gap + part, off)):
+                    want[len(docs)] = {(at, 5, at + len(end))} if gap < 256 else set()
+                    docs.append((len(docs), text, "a"))
+    for off in range(0, 256, 37):  # a long weak part before a short base one, and behind it
+        url = "https://" + "h." * 100
+        for gap in (20, 250, 256):
+            for text, at in ((" " * off + url + " " * gap + "token=abc.def", off), (" " * off + "token=abc.def" + " " * gap + url, off + 13 + gap)):
+                want[len(docs)] = {(at, 5, at + len(url))} if gap < 256 else set()
+                docs.append((len(docs), text, "a"))
+    got = {r.doc_id: {(s.start, s.kind, s.end) for s in r.added} for r in op2_secrets.secrets(frame(spark, docs)).collect()}
+    assert got == want
+
+
 # 3
 
 
