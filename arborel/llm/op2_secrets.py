@@ -20,10 +20,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are maximal, so this finds what AKIA[A-Z0-9]+ of 20 and more finds
 HEX = r"[0-9a-f]{24,}"
 WINDOW = 256
-# Parts that count only together.
-WEAK_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{6,15}(?![A-Z0-9])"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{16,64}=*(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@-]{3,253}"
+# Parts that count only together, of any length: runs are possessive and look-aheads end with the run, which keeps time linear.
+WEAK_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{6,}+"  # AKIA with 16 and more is also ACCESS's, and dropped as it overlaps
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{16,}+=*+(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@-]{3,}+"
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
 
 
