@@ -3,8 +3,8 @@
 The rules find e-mail addresses, IP addresses, card and phone numbers of plain form. The network, trained by gradient descent from labelled spans, adds
 what is written otherwise (" at ", "dot", other separators). It reads windows of WIDTH characters that overlap by half; the CRF decodes each, and a
 character takes its tag from the window in which it stands most central, so spans are reconciled over the whole text. As every kind holds a
-digit or an at-sign (or the word "at"), windows are laid over all such characters with their surroundings, and only there. An added span touches no
-span of the rules and has the digits or signs that its kind needs.
+digit or an at-sign (or the word "at"), of the windows over the text those are decoded that decide such characters, and their neighbours as far as a
+span goes on; the others could add nothing. An added span touches no span of the rules and has the digits or signs that its kind needs.
 
 Positions are code points, ends exclusive. A null or empty text has no spans; rows that repeat get the same spans each; very long texts are
 read whole, in windows. Other columns aren't read. Training uses generated sentences with known spans (a fixed seed), no row of the input.
@@ -30,7 +30,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-WIDTH, STEP, CONTEXT = 64, 32, 24
+WIDTH, STEP = 64, 32
 CHARS = "abcdefghijklmnopqrstuvwxyz0123456789@.-_+()[] :,/"
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 EMBED, HIDDEN, STEPS, BATCH, RATE, SEED = 12, 20, 220, 32, 0.02, 5
@@ -262,51 +262,60 @@ def decode(p, x: np.ndarray) -> np.ndarray:
     return out
 
 
-TRIGGER = re.compile(r"[0-9@]+|[\[( ]at[\]) ]", re.I)
+SIGNS, AT, WIDE = re.compile(r"[0-9@]+"), re.compile(r"[aA][tT](?<!\w..)\b"), re.compile(r"[^\x00-\x7f]+")
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around all that a span must hold."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def triggers(text: str):
+    """What a plausible span must hold: digits of any script, at-signs, the word "at". Searched one by one, as `re` is slow on large sets."""
+    for pattern in (SIGNS, AT):
+        for m in pattern.finditer(text):
+            yield m.span()
+    if not text.isascii():
+        for m in WIDE.finditer(text):
+            if not m[0].isalpha():
+                yield from ((k, k + 1) for k in range(*m.span()) if text[k].isdigit())
+
+
+def decided(k: int, n: int) -> tuple[int, int]:
+    """The places that window k decides, of a text of n characters: those that stand more central in it than in its neighbours."""
+    return (0 if k == 0 else k * STEP + (WIDTH - STEP) // 2), (n if k * STEP + WIDTH >= n else k * STEP + (WIDTH + STEP) // 2)
+
+
+def deciding(place: int, n: int) -> int:
+    return min(max(0, (place - (WIDTH - STEP) // 2) // STEP), max(0, -(-(n - WIDTH) // STEP)))
 
 
 def tagged(p, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, end, kind) that the network finds in each text."""
-    windows = []
-    for i, text in enumerate(texts):
-        for a, b in regions(text):
-            at = a
-            while True:
-                windows.append((i, at, min(at + WIDTH, b), a, b))
-                if at + WIDTH >= b:
-                    break
-                at += STEP
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    open_: dict = {}
-    for s in range(0, len(windows), 512):
-        part = windows[s : s + 512]
-        x = np.zeros((len(part), WIDTH), np.int64)
-        for row, (i, a, b, *_) in zip(x, part):
-            row[: b - a] = encode(texts[i][a:b])
-        for tags, (i, a, b, left, right) in zip(decode(p, x), part):
-            if (i, left) not in open_:
-                open_[i, left] = (np.zeros(right - left, np.int64), np.full(right - left, -1))
-            best, how = open_[i, left]
-            places = np.arange(a, b)
-            central = np.minimum(np.where(a == left, WIDTH, places - a), np.where(b == right, WIDTH, b - 1 - places))
-            better = central > how[a - left : b - left]
-            best[a - left : b - left][better] = tags[: b - a][better]
-            how[a - left : b - left][better] = central[better]
-            if b == right:
-                out[i] += [(left + u, left + v, kind) for u, v, kind in spans_of(best)]
-                del open_[i, left]
+    """Spans (start, end, kind) that the network finds in each text and that hold a trigger: the same as if all windows were decoded."""
+    tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    wanted = {(i, k) for i, text in enumerate(texts) for a, b in triggers(text) for k in range(deciding(a, len(text)), deciding(b - 1, len(text)) + 1)}
+    while wanted:
+        order, more = sorted(wanted), set()
+        for s in range(0, len(order), 512):
+            part = order[s : s + 512]
+            x = np.zeros((len(part), WIDTH), np.int64)
+            for row, (i, k) in zip(x, part):
+                piece = encode(texts[i][k * STEP : k * STEP + WIDTH])
+                row[: len(piece)] = piece
+            for got, (i, k) in zip(decode(p, x), part):
+                a, b = decided(k, len(texts[i]))
+                tags[i][k] = here = got[a - k * STEP : b - k * STEP]
+                # a span may have begun before, or go on
+                if k and here[0] and here[0] % 2 == 0:
+                    more.add((i, k - 1))
+                if here[-1] and b < len(texts[i]):
+                    more.add((i, k + 1))
+        wanted = {(i, k) for i, k in more if k not in tags[i]}
+    out: list[list[tuple[int, int, int]]] = []
+    for text, known in zip(texts, tags):
+        spans, run = [], []
+        for k in sorted(known):
+            run.append(known[k])
+            if k + 1 not in known:
+                left = decided(k, len(text))[1] - sum(map(len, run))
+                spans += [(left + u, left + v, kind) for u, v, kind in spans_of(np.concatenate(run))]
+                run = []
+        out.append(spans)
     return out
 
 
@@ -324,7 +333,7 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
 def plausible(text: str, kind: int) -> bool:
     digits = sum(c.isdigit() for c in text)
     if kind == 0:
-        return bool(re.search(r"\w\s?[\[(]?(?:@|\bat\b)[\])]?\s?\w+\s?[\[(]?(?:\.|\bdot\b)[\])]?\s?[a-z]{2,}", text, re.I))
+        return bool(re.search(r"\w\s?[\[({<]?(?:@|\bat\b)[\])}>]?\s?\w+\s?[\[({<]?(?:\.|\bdot\b)[\])}>]?\s?[a-z]{2,}", text, re.I))
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)

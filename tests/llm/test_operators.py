@@ -422,6 +422,34 @@ def test_pii_network(spark, odd, nothing):
     assert (one.n_email, one.n_phone) == (1, 1) and one.base_sha256 == hashlib.sha256(b"email:3:12,phone:13:30").hexdigest()
 
 
+def whole_text_spans(model, text):
+    """Spans from windows over the whole text, without any choice of places."""
+    starts = [0]
+    while starts[-1] + op8_pii.WIDTH < len(text):
+        starts.append(starts[-1] + op8_pii.STEP)
+    x = np.zeros((len(starts), op8_pii.WIDTH), np.int64)
+    for row, a in zip(x, starts):
+        codes = op8_pii.encode(text[a : a + op8_pii.WIDTH])
+        row[: len(codes)] = codes
+    best, how = np.zeros(len(text), np.int64), np.full(len(text), -1)
+    for tags, a in zip(op8_pii.decode(model, x), starts):
+        for k in range(a, min(a + op8_pii.WIDTH, len(text))):
+            central = min(99 if a == 0 else k - a, 99 if a + op8_pii.WIDTH >= len(text) else a + op8_pii.WIDTH - 1 - k)
+            if central > how[k]:
+                best[k], how[k] = tags[k - a], central
+    return [(a, b, k) for a, b, k in op8_pii.spans_of(best) if op8_pii.plausible(text[a:b], k)]
+
+
+def test_pii_whole_texts():
+    model, rng = op8_pii.trained(), np.random.default_rng(9)
+    texts = ["", "a", "x" * 64, "1" * 65, "at", "mail anna at\nexample dot com now", "mail anna {at} example dot com", "to a.very.long.name.of.a.person.who.writes at company dot de " * 3, "٣" * 13 + " " + "²" * 12]
+    for _ in range(60):
+        texts.append(" ".join(op8_pii.sentence(rng)[0].replace(" at ", " at\n") + "lorem ipsum " * int(rng.integers(0, 9)) for _ in range(int(rng.integers(1, 9)))))
+    got = [[(a, b, k) for a, b, k in spans if op8_pii.plausible(t[a:b], k)] for t, spans in zip(texts, op8_pii.tagged(model, texts))]
+    assert got == [whole_text_spans(model, t) if t else [] for t in texts] and sum(map(len, got)) > 100
+    assert op8_pii.plausible("anna {at} example {dot} com", 0) and not op8_pii.plausible("anna example com", 0)
+
+
 # 9
 
 
