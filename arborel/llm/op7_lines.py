@@ -1,6 +1,7 @@
 """Line dedup of fuzzy lines by MinHash.
 
-A line's set holds its distinct shingles of SHINGLE characters (a shorter line is one shingle). Registers of 64 buckets, in bands of
+A line's set holds its distinct shingles of `shingle` characters (a shorter line is one shingle): FINE in the query op7_lines, where one changed
+character inside a line of 49 and more still leaves a similarity of 0.8; SHINGLE by default in the functions. Registers of 64 buckets, in bands of
 four, find candidates; links have an exact Jaccard similarity of THRESHOLD and more; distributed union-find makes components, of which the
 first line (smallest doc_id, then line number) stays. A pair at the threshold is missed by all 16 bands with a chance of 2e-4, one of 0.9 with 1e-7.
 
@@ -10,6 +11,8 @@ stays. A null doc_id is the smallest. Equal lines, even if they are a third of a
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import attach, flagged, maybe_in, small_batches, stored, table
 from .neardup import classes, mix
 
-SHINGLE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 0.8, 6, 10
+SHINGLE, FINE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 5, 0.8, 6, 10
 #: Characters whose shingles are hashed at once.
 CHUNK = 1 << 18
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -36,13 +39,13 @@ def rolled(chars: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def char_set(line: bytes | str) -> np.ndarray:
+def char_set(line: bytes | str, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a line's shingles."""
     chars = codes(line.decode("utf-8", "surrogatepass") if isinstance(line, bytes) else line)
-    return np.unique(rolled(chars, min(SHINGLE, len(chars)))) if len(chars) else np.zeros(0, np.uint64)
+    return np.unique(rolled(chars, min(shingle, len(chars)))) if len(chars) else np.zeros(0, np.uint64)
 
 
-def sketch(lines: list[str]) -> np.ndarray:
+def sketch(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
     """Registers of several lines at once: lines x buckets, as neardup.registers makes them of each line's set."""
     least = np.full(len(lines) << BUCKET_BITS, ~np.uint64(0))
     at = 0
@@ -55,8 +58,8 @@ def sketch(lines: list[str]) -> np.ndarray:
         lengths = np.array([len(x) for x in part])
         starts = np.cumsum(lengths) - lengths
         chars = codes("".join(part))
-        for width in sorted({min(SHINGLE, n) for n in lengths.tolist()}):
-            some = np.flatnonzero(np.minimum(lengths, SHINGLE) == width)
+        for width in sorted({min(shingle, n) for n in lengths.tolist()}):
+            some = np.flatnonzero(np.minimum(lengths, shingle) == width)
             hashes = rolled(chars, width)
             counts = lengths[some] - width + 1
             owner = np.repeat(some, counts)
@@ -74,7 +77,7 @@ def sketch(lines: list[str]) -> np.ndarray:
     return np.where(filled, regs, 0).astype(np.uint16).reshape(len(lines), 1 << BUCKET_BITS)
 
 
-def sketched(batches):
+def sketched(batches, shingle: int = SHINGLE):
     """(doc_id, place, text) to a row for each line."""
     for batch in batches:
         for at in range(0, len(batch), 64):
@@ -89,9 +92,9 @@ def sketched(batches):
             full = [k for k, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
             digests: list = [None] * len(lines)
             sigs: list = [None] * len(lines)
-            for k, row in zip(full, sketch([lines[k] for k in full])):
+            for k, row in zip(full, sketch([lines[k] for k in full], shingle)):
                 digests[k], sigs[k] = xxhash.xxh3_128_digest(lines[k].encode("utf-8", "surrogatepass")), row.tobytes()
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(numbers, pa.int32()), pa.array([max(1, len(x) - SHINGLE + 1) for x in lines], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
+            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(numbers, pa.int32()), pa.array([max(1, len(x) - shingle + 1) for x in lines], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "line", "n", "digest", "sig"])
 
 
@@ -103,11 +106,11 @@ def lines_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.binary())], names=["digest", "payload"])
 
 
-def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, place, line, kept): a row for each line; place is the hash of its row's id and text."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(id_column, text_column).alias("place"), F.col(text_column).alias("text"))
-    made = rows.mapInArrow(sketched, "doc_id bigint, place bigint, line int, n bigint, digest binary, sig binary")
+    made = rows.mapInArrow(partial(sketched, shingle=shingle), "doc_id bigint, place bigint, line int, n bigint, digest binary, sig binary")
     lines = stored(made.withColumn("rid", F.monotonically_increasing_id()))
 
     def fetch(wanted: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
         near = maybe_in(got, "_key", wanted.select(F.xxhash64("digest").alias("_key")))
         return near.dropDuplicates(["digest"]).join(wanted.drop("place"), "digest").drop("digest", "_key")
 
-    found = classes(lines, fetch, char_set, threshold, BUCKET_BITS, MANTISSA, exact=False)
+    found = classes(lines, fetch, partial(char_set, shingle=shingle), threshold, BUCKET_BITS, MANTISSA, exact=False)
     # lines of classes that hold one line only stay as they are and meet nothing
     found = stored(found.withColumn("lone", (F.col("copies") == 1) & ~F.col("linked")).where("not lone").select("digest", "comp"))
     slim = lines.select("rid", "doc_id", "place", "line", "digest", F.xxhash64("digest").alias("_key"))
@@ -139,7 +142,7 @@ def without_fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_kept, dropped): dropped lists line numbers, from 0, ascending. Rows that repeat whole are reported in one row."""
-    found = fuzzy_lines(table(spark, sf_dir, "documents"))
+    found = fuzzy_lines(table(spark, sf_dir, "documents"), shingle=FINE)
     gone = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line"))))
     out = found.groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"), gone.alias("gone"))
     return out.select("doc_id", "n_lines", "n_kept", F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("dropped"))

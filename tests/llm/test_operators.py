@@ -352,6 +352,20 @@ def test_lines(spark, odd, nothing):
     assert op7_lines.without_fuzzy_lines(odd).columns == odd.columns
 
 
+def test_lines_of_one_edit(spark, tmp_path):
+    rng, docs, want = random.Random(70), [], {}
+    for n, edits, same in ((20, 0, True), (40, 1, False), (49, 1, True), (60, 1, True), (80, 1, True), (88, 1, True), (93, 2, False), (100, 2, True), (162, 2, True)):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(n - 2))
+        line = "(" + line + ")"
+        other = list(line)
+        for k in range(edits):
+            other[(k + 1) * n // (edits + 1)] = "#"
+        docs.append((len(docs), line + "\n" + "".join(other), "a"))
+        want[len(docs) - 1] = "1" if same else ""
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.dropped for r in op7_lines.op7_lines(spark, str(tmp_path)).collect()} == want
+
+
 def test_line_registers():
     lines = ["short", "a line of some length that has shingles", "x" * 400, "é😀" * 50]
     for line, row in zip(lines, op7_lines.sketch(lines)):
