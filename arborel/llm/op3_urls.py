@@ -5,8 +5,8 @@ those path prefixes whose length some rule has; expressions meet rules in an equ
 meeting counts only if the full digests are equal. Of a url's rules the longest (host and path together) decides; of equally long ones the
 longer host, then block before allow.
 
-Urls are first reduced to distinct (host, path) pairs, so a host that holds a third of all pages is expanded once for each of its paths. The rule
-table is broadcast only when it holds at most BROADCAST_RULES rows; a longer one is joined by a shuffle on digest prefixes.
+Urls are first reduced to distinct (host, path) pairs, so a host that holds a third of all pages is expanded once for each of its paths. Rules of
+more than MOST_LENGTHS path lengths are an error. The rule table is broadcast only when it holds at most BROADCAST_RULES rows; a longer one is joined by a shuffle on digest prefixes.
 
 A null url, or one without `://`, has an empty host and path and fits no rule. The verdict without a rule is `default`. Rows that repeat are
 judged each. Other columns aren't read.
@@ -20,6 +20,7 @@ from .common import attach, table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 BROADCAST_RULES = 200_000
+MOST_LENGTHS = 65_536
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,7 +43,9 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column
     listed = listed.select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("hl"), F.length("path").alias("pl"), digest(F.concat_ws("\x1f", "host", "path")).alias("full"))
     listed = listed.withColumn("short", F.substring("full", 1, 4))
     few = listed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    lengths = sorted(r[0] for r in listed.select("pl").distinct().limit(65_536).collect())  # path lengths, not rules
+    lengths = sorted(r[0] for r in listed.select("pl").distinct().limit(MOST_LENGTHS + 1).collect())  # path lengths, not rules
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"rules of more than {MOST_LENGTHS} path lengths")
     urls = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("_url"))
     urls = urls.select("page_id", host.alias("host"), path.alias("path")).withColumn("place", F.xxhash64("host", F.lit("\x1f"), "path"))
     pairs = urls.select("host", "path").distinct()

@@ -134,6 +134,16 @@ def test_secrets_of_any_length(spark):
 # 3
 
 
+def test_urls_many_lengths(spark, monkeypatch):
+    rules = spark.createDataFrame([("org", "/" + "a" * n, "block") for n in range(4)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://x.org/aaa")], "page_id bigint, url string")
+    monkeypatch.setattr(op3_urls, "MOST_LENGTHS", 4)
+    assert op3_urls.judged(pages, rules).first().rule == "org/aaa"
+    monkeypatch.setattr(op3_urls, "MOST_LENGTHS", 3)
+    with pytest.raises(ValueError):
+        op3_urls.judged(pages, rules)
+
+
 def test_urls(spark, sf_dir):
     pages = [(1, None), (2, "nothing"), (3, "http://Example.ORG/en/12"), (4, "http://a.example.org/es/x"), (5, "http://example.org"), (6, "x://org/?q"), (7, "http://notexample.org/es/"), (8, "http://com/de/1#x"), (8, "http://com/de/1#x"), (None, "http://www.a.com/fr/?x"), (9, "http://a://b/c"), (10, "http://org?://example.org/es/")]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in pages], "page_id bigint, url string, host string, rule string")
