@@ -5,7 +5,8 @@ into words of letters. Windows of WIDTH template words are hashed, at every offs
 along one alignment, at least half of the item's windows (COVER, counted exactly) are covered and the slots are consistent: one value of the item always stands for one value in the document and the other way round, so a
 question asked anew with other numbers is caught, and a template that fits by chance is not.
 
-Windows with fewer than LITERALS words besides placeholders say nothing and are left out. Items shorter than WIDTH words are matched by
+Windows with fewer than LITERALS words besides placeholders say nothing and are left out. An item without other windows (number lists, tables)
+is found where all its words, values included, stand in a row, from MIN_WORDS words; shorter ones aren't searched. Items shorter than WIDTH words are matched by
 one window of their own length at every offset (from MIN_WORDS words). Null or empty texts match nothing, on either side; rows that
 repeat share a verdict, being known by a 64-bit hash of (doc_id, text). Other columns aren't read.
 """
@@ -64,6 +65,24 @@ def benchmark_windows(bench: DataFrame, width: int = WIDTH, id_column: str = "it
     return stored(out.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("item_id")).cast("int")))
 
 
+def raw_words(text: Column) -> Column:
+    """The words of a text with their values."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def silent_windows(bench: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+    """As benchmark_windows, of items that have none there: windows of raw words, end to end and one at the item's end, so all together are the item."""
+    items = bench.select("item_id", raw_words(F.col("text")).alias("words")).join(wanted.select("item_id").distinct(), "item_id", "left_anti")
+    items = stored(items.where(F.size("words") >= MIN_WORDS))
+    out = None
+    for w in range(MIN_WORDS, width + 1):
+        some = items.where(F.size("words") >= w if w == width else F.size("words") == w).withColumn("n", F.size("words"))
+        cut = some.select("item_id", "n", F.posexplode(windows(F.col("words"), w)).alias("q", "h")).where((F.col("q") % w == 0) | (F.col("q") == F.col("n") - w))
+        part = cut.select("item_id", "q", "h", F.lit(w).alias("width"))
+        out = part if out is None else out.union(part)
+    return stored(out.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("item_id")).cast("int")))
+
+
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
     return F.xxhash64(F.col(id_column), F.col(text_column))
 
@@ -71,9 +90,22 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
 def leaks(docs: DataFrame, bench: DataFrame, cover: float = COVER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(rk, item_id, windows): the items found in each row; windows: the item's covered windows along the best alignment."""
     wanted = benchmark_windows(bench)
+    row = row_key(id_column, text_column).alias("rk")
+    lines = aligned(docs.select(row, template(F.col(text_column)).alias("words")), wanted, cover)
+    copies = aligned(docs.select(row, raw_words(F.col(text_column)).alias("words")), silent_windows(bench, wanted), 1.0)
+    if lines is None and copies is None:
+        return docs.select(row, F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("windows")).where("false")
+    whole = None if copies is None else copies.groupBy("rk", "item_id").agg(F.max("hits").alias("windows"))
+    if lines is None:
+        return whole
+    found = consistent(docs, bench, lines, id_column, text_column)
+    return found if whole is None else found.union(whole)
+
+
+def aligned(rows: DataFrame, wanted: DataFrame, cover: float) -> DataFrame | None:
+    """(rk, item_id, shift, m, hits): alignments along which at least `cover` of an item's windows are in a row's words; None without windows."""
     facts = wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # at most WIDTH rows
     few = sum(r["n"] for r in facts) <= BROADCAST_WINDOWS
-    rows = docs.select(row_key(id_column, text_column).alias("rk"), template(F.col(text_column)).alias("words"))
     met = None
     for w in sorted(r["width"] for r in facts):
         cut = rows.select("rk", F.posexplode(windows(F.col("words"), w)).alias("p", "h"))
@@ -81,10 +113,9 @@ def leaks(docs: DataFrame, bench: DataFrame, cover: float = COVER, id_column: st
         hit = (cut.join(F.broadcast(some), "h") if few else maybe_in(cut, "h", some).join(some, "h")).select("rk", "item_id", "m", "p", (F.col("p") - F.col("q")).alias("shift"))
         met = hit if met is None else met.union(hit)
     if met is None:
-        return docs.select(row_key(id_column, text_column).alias("rk"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("windows")).where("false")
+        return None
     lines = met.groupBy("rk", "item_id", "shift", "m").agg(F.countDistinct("p").alias("hits"))
-    lines = stored(lines.where(F.col("hits") >= F.greatest(F.lit(1), F.ceil(F.col("m") * cover))))
-    return consistent(docs, bench, lines, id_column, text_column)
+    return stored(lines.where(F.col("hits") >= F.greatest(F.lit(1), F.ceil(F.col("m") * cover))))
 
 
 def slots(rows: DataFrame, key: str, text: Column) -> DataFrame:

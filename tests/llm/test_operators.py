@@ -563,3 +563,12 @@ def test_decontaminate_every_offset(spark):
     df = frame(spark, docs)
     keys = {r.k: r.doc_id for r in df.select("doc_id", op10_decontaminate.row_key().alias("k")).collect()}
     assert {(keys[r.rk], r.item_id, r.windows) for r in op10_decontaminate.leaks(df, bench).collect()} == want
+
+
+def test_decontaminate_silent_items(spark):
+    bench = spark.createDataFrame([(1, "1 + 2 = 3, 4 + 5 = 9, 6 + 7 = 13, 8 + 9 = 17, 20"), (2, "31 32 33 34 35 36"), (3, "7 8"), (4, None)], "item_id bigint, text string")
+    docs = [(1, "sums: 1 + 2 = 3, 4 + 5 = 9, 6 + 7 = 13, 8 + 9 = 17, 20 end", "a"), (2, "sums: 1 + 2 = 3, 4 + 5 = 9, 6 + 7 = 13, 8 + 9 = 17, 21", "a"), (3, "x y z 31 32 33 34 35 36 7 8", "a"), (4, "31 32 33 34 35 37", "a")]
+    df = frame(spark, docs)
+    keys = {r.k: r.doc_id for r in df.select("doc_id", op10_decontaminate.row_key().alias("k")).collect()}
+    assert {(keys[r.rk], r.item_id) for r in op10_decontaminate.leaks(df, bench).collect()} == {(1, 1), (3, 2)}
+    assert op10_decontaminate.without_leaks(df, bench).count() == 2
