@@ -67,10 +67,11 @@ def band_keys(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(buckets: int):
-    """(sig) to (bucket, keys): many keys a row, so a key takes 8 bytes of a shuffle."""
+    """(sig) to (bucket, keys): many keys a row, so a key takes 8 bytes of a shuffle. Of PACK keys two of each go at most, as more say no more."""
 
     def emit(parts):
-        keys = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        keys = keys[np.r_[np.ones(min(2, len(keys)), bool), keys[2:] != keys[:-2]]]
         bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         keys, bucket = keys[order], bucket[order]
@@ -254,40 +255,49 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
     firsts = maybe_in(some, "rid", groups.select(F.col("node").alias("rid"))).select(F.col("rid").alias("node"), "place", "digest", "n", "sig")
     near = stored(likely_links(firsts, groups.count() * ((1 << bits) // ROWS), threshold, mantissa, exact))
 
-    # where each node of a cluster is searched: only numbers move until sets are fetched once
+    # only numbers move until sets are fetched once
     clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
-    sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = attach(clusters, sizes, "cluster", "node", "inner").select("cluster", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = stored(placed)
-    # a few of the cluster's nodes go to every block of a cluster that has several
-    picked = placed.where("blocks > 1").select("cluster", "blocks", F.struct(F.xxhash64("node").alias("h"), "node").alias("x"))
-    picked = picked.withColumn("s", F.pmod(F.col("x.h"), F.lit(ANCHORS))).groupBy("cluster", "s", "blocks").agg(F.min("x").alias("x"))
-    anchors = picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    dealt = placed.select("cluster", "node", "block").union(anchors).distinct()
     where = firsts.select("node", "place", "digest")
-    search_by = lambda rows, keys: rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(searched(decode, bits, mantissa, threshold, keys), "a bigint, b bigint")
-    links = stored(search_by(fetch(stored(where.join(dealt, "node"))), ["cluster", "block"]))
-    known = stored(components(links))
+    known = search_clusters(placed(clusters), lambda rows: fetch(stored(where.join(rows, "node"))), lambda keys: searched(decode, bits, mantissa, threshold, keys))
+    return groups.join(known, "node", "left").select("digest", "node", F.coalesce("comp", "node").alias("comp"), "copies", F.col("comp").isNotNull().alias("linked"))
+
 
+def placed(clusters: DataFrame) -> DataFrame:
+    """clusters(cluster, node) with the number of blocks of a cluster, and the node's. Stored."""
+    sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
+    met = attach(clusters, sizes, "cluster", "node", "inner").select("cluster", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    return stored(met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+
+
+def search_clusters(where: DataFrame, get, task) -> DataFrame:
+    """(node, comp) of the nodes that verified links connect, within the clusters of where(cluster, node, blocks, block). get adds payloads to rows with nodes;
+    task(keys) is a search of sorted blocks, such as `searched`."""
+    search_by = lambda rows, keys: rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task(keys), "a bigint, b bigint")
+    several = where.where("blocks > 1")
+    dealt = where.select("cluster", "node", "block")
+    if large := bool(several.take(1)):
+        # a few of the cluster's nodes go to every block of a cluster that has several
+        picked = several.select("cluster", "blocks", F.struct(F.xxhash64("node").alias("h"), "node").alias("x"))
+        picked = picked.withColumn("s", F.pmod(F.col("x.h"), F.lit(ANCHORS))).groupBy("cluster", "s", "blocks").agg(F.min("x").alias("x"))
+        dealt = dealt.union(picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))).distinct()
+    links = stored(search_by(get(dealt), ["cluster", "block"]))
+    known = stored(components(links))
+    if not large:
+        return known
     # clusters of several blocks: what lies outside the largest class against all
-    big = placed.where("blocks > 1")
-    if big.take(1):
-        big = stored(big.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        counted = big.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
-        main = counted.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-        open_ = attach(big, main.where("kinds > 1"), "cluster", "node", "inner").withColumn("query", F.col("comp") != F.col("top.comp"))
-        open_ = stored(open_.select("cluster", "node", "blocks", "block", "comp", "query"))
-        parts = open_.where("query").groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        open_ = attach(open_, parts, "cluster", "node", "inner")
-        against = open_.withColumn("query", F.lit(False)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        asking = open_.where("query").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        both = asking.unionByName(against).groupBy("cluster", "block", "part", "node", "comp").agg(F.max("query").alias("query"))
-        more = search_by(fetch(stored(where.join(both, "node"))), ["cluster", "block", "part"])
-        # classes known so far are stars, so they stand for the links already found
-        links = known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)
-        known = stored(components(links))
-    return groups.join(known, "node", "left").select("digest", "node", F.coalesce("comp", "node").alias("comp"), "copies", F.col("comp").isNotNull().alias("linked"))
+    big = stored(several.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    counted = big.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = counted.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    open_ = attach(big, main.where("kinds > 1"), "cluster", "node", "inner").withColumn("query", F.col("comp") != F.col("top.comp"))
+    open_ = stored(open_.select("cluster", "node", "blocks", "block", "comp", "query"))
+    parts = open_.where("query").groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    open_ = attach(open_, parts, "cluster", "node", "inner")
+    against = open_.withColumn("query", F.lit(False)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asking = open_.where("query").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = asking.unionByName(against).groupBy("cluster", "block", "part", "node", "comp").agg(F.max("query").alias("query"))
+    more = search_by(get(both), ["cluster", "block", "part"])
+    # classes known so far are stars, so they stand for the links already found
+    return stored(components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)))
 
 
 def likely_links(firsts: DataFrame, keys: int, threshold: float, mantissa: int, exact: bool) -> DataFrame:

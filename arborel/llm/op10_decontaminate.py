@@ -8,7 +8,7 @@ question asked anew with other numbers is caught, and a template that fits by ch
 Windows with fewer than LITERALS words besides placeholders say nothing and are left out. An item without other windows (number lists, tables)
 is found where all its words, values included, stand in a row, from MIN_WORDS words; shorter ones aren't searched. Items shorter than WIDTH words are matched by
 one window of their own length at every offset (from MIN_WORDS words). Null or empty texts match nothing, on either side; rows that
-repeat share a verdict, being known by a 64-bit hash of (doc_id, text). Other columns aren't read.
+repeat share a verdict, being known by two 64-bit hashes of (doc_id, text). Very long texts are read whole. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def silent_windows(bench: DataFrame, wanted: DataFrame, width: int = WIDTH) -> D
 
 
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
-    return F.xxhash64(F.col(id_column), F.col(text_column))
+    """Two independent 64-bit hashes of a row's id and text, which together know it."""
+    return F.struct(F.xxhash64(id_column, text_column).alias("a"), F.xxhash64(text_column, id_column, F.lit(1)).alias("b"))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, cover: float = COVER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -134,7 +135,8 @@ def consistent(docs: DataFrame, bench: DataFrame, lines: DataFrame, id_column: s
     open_ = stored(lines.join(asked.select("item_id").distinct(), "item_id", "left_semi"))
     if not open_.take(1):
         return best(lines)
-    keyed = docs.select(row_key(id_column, text_column).alias("rk"), F.col(text_column).alias("text"))
+    keyed = docs.select(row_key(id_column, text_column).alias("rk"), F.col(text_column).alias("text")).withColumn("near", F.col("rk.a"))
+    keyed = maybe_in(keyed, "near", open_.select(F.col("rk.a").alias("near"))).drop("near")
     texts = keyed.join(open_.select("rk").distinct(), "rk", "left_semi").dropDuplicates(["rk"])
     there = slots(texts, "rk", F.col("text")).withColumnRenamed("value", "said")
     pairs = open_.join(asked, "item_id").withColumn("pos", F.col("pos") + F.col("shift")).join(there, ["rk", "pos"])
@@ -144,9 +146,9 @@ def consistent(docs: DataFrame, bench: DataFrame, lines: DataFrame, id_column: s
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows that hold no benchmark item, with all their columns."""
-    bad = stored(leaks(docs, bench).select(F.col("rk").alias("_bad")).distinct())
-    return without(docs.withColumn("_bad", row_key()), bad, ["_bad"]).drop("_bad")
+    """The rows that hold no benchmark item, with all their columns, whatever their names."""
+    bad = stored(leaks(docs, bench).select("rk.a", "rk.b").distinct())
+    return without(docs, [row_key()["a"], row_key()["b"]], bad)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

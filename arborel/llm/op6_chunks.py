@@ -62,9 +62,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def one_each(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat under one id, one."""
-    gone = stored(exact_groups(docs).where("not kept").select(F.col("place").alias("_place"), F.col("text_sha256").alias("_sha")).distinct())
-    keyed = docs.withColumn("_place", F.xxhash64("doc_id", "text")).withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return without(keyed, gone, ["_place", "_sha"]).drop("_place", "_sha")
+    gone = stored(exact_groups(docs).where("not kept").select("place", "text_sha256").distinct())
+    return without(docs, [F.xxhash64("doc_id", "text"), F.sha2(F.coalesce("text", F.lit("")), 256)], gone)
 
 
 def op6_chunks(spark, sf_dir: str) -> DataFrame:

@@ -1,29 +1,43 @@
 """Line dedup of fuzzy lines by MinHash.
 
 A line's set holds its distinct shingles of `shingle` characters (a shorter line is one shingle): FINE in the query op7_lines, where one changed
-character inside a line of 49 and more still leaves a similarity of 0.8; SHINGLE by default in the functions. Registers of 64 buckets, in bands of
-four, find candidates; links have an exact Jaccard similarity of THRESHOLD and more; distributed union-find makes components, of which the
-first line (smallest doc_id, then line number) stays. A pair at the threshold is missed by all 16 bands with a chance of 2e-4, one of 0.9 with 1e-7.
+character inside a line of 49 and more still leaves a similarity of 0.8; SHINGLE by default in the functions. A line's signature are the
+registers of 256 buckets, of which the empty ones borrow from others in an order that is the same for all lines, so that short lines, too, agree in a
+register as often as they are similar. BANDS bands of ROWS registers find candidates; links have an exact Jaccard similarity of THRESHOLD and more;
+distributed union-find makes components, of which the first line (smallest doc_id, then line number) stays. A pair at the threshold is missed by
+all bands with a chance of 7e-4, one of 0.85 with 1e-5; two lines of a similarity of 0.05 share a band with one of 4e-7.
+
+Lines meet by what they say: a line is known by a 64-bit hash of its text while candidates are found, by two (128 bits) where lines are judged.
+Only hashes of lines move, besides the texts of candidates, each once a group. Band keys travel packed, 12 bytes each; of a key that many lines have, a worker
+sends MOST to the key's task and deals the rest out, and its lines are searched in blocks.
 
 Lines are what stands between line feeds. White lines are separators: they are always kept and linked with nothing. Null and empty
 texts have one empty line. Rows that repeat give lines of their own, so all but one copy go; of equal (doc_id, line number) the first read
-stays. A null doc_id is the smallest. Equal lines, even if they are a third of all, are one node, and very long lines are read whole."""
+stays. A null doc_id is the smallest. Equal lines, even if they are a third of all, are one node, and very long lines are read whole. An empty table
+gives no rows; other columns aren't read, whatever their names."""
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import attach, flagged, maybe_in, small_batches, stored, table
-from .neardup import classes, mix
+from .common import attach, free, maybe_in, small_batches, stored, table
+from .neardup import BLOCK, grouped, jaccard_at_least, mix, placed, search_clusters
 
-SHINGLE, FINE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 5, 0.8, 6, 10
+SHINGLE, FINE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 5, 0.8, 8, 10
+ROWS, BANDS = 6, 24
 #: Characters whose shingles are hashed at once.
 CHUNK = 1 << 18
+#: Band keys that a worker gathers before it sends them; lines of a key that it sends of them to the key's own task; keys that a task compares.
+PACK, MOST, COUNTED = 1 << 21, 16, 1 << 20
+#: Lines that a worker remembers, so as to sketch equal ones once.
+SEEN = 1 << 19
+#: Characters of a group of candidates up to which its shingles are compared as text.
+PLAIN = 1 << 20
+SEED = 42  # of the built-in xxhash64
+WHITE = " \t\r\x0b\x0c"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,72 +91,274 @@ def sketch(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
     return np.where(filled, regs, 0).astype(np.uint16).reshape(len(lines), 1 << BUCKET_BITS)
 
 
-def sketched(batches, shingle: int = SHINGLE):
-    """(doc_id, place, text) to a row for each line."""
-    for batch in batches:
-        for at in range(0, len(batch), 64):
-            part = batch.slice(at, 64)
-            ids, places, numbers, lines = [], [], [], []
-            for i, p, text in zip(part["doc_id"].to_pylist(), part["place"].to_pylist(), part["text"].to_pylist()):
-                cut = (text or "").split("\n")
-                ids += [i] * len(cut)
-                places += [p] * len(cut)
-                numbers += range(len(cut))
-                lines += cut
-            full = [k for k, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
-            digests: list = [None] * len(lines)
-            sigs: list = [None] * len(lines)
-            for k, row in zip(full, sketch([lines[k] for k in full], shingle)):
-                digests[k], sigs[k] = xxhash.xxh3_128_digest(lines[k].encode("utf-8", "surrogatepass")), row.tobytes()
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(numbers, pa.int32()), pa.array([max(1, len(x) - shingle + 1) for x in lines], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "line", "n", "digest", "sig"])
-
-
-def lines_of(batches):
-    """Texts to (digest, payload) of their lines."""
-    for batch in batches:
-        for at in range(0, len(batch), 64):
-            lines = [x.encode("utf-8", "surrogatepass") for t in batch["text"][at : at + 64].to_pylist() for x in (t or "").split("\n")]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.binary())], names=["digest", "payload"])
+ORDER = np.argsort(np.random.default_rng(64).random((1 << BUCKET_BITS, 1 << BUCKET_BITS)), axis=1).astype(np.int16)
 
 
-def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, place, line, kept): a row for each line; place is the hash of its row's id and text."""
+def filled(regs: np.ndarray) -> np.ndarray:
+    """The first ROWS * BANDS registers of each line, where an empty one takes the first that isn't in its bucket's ORDER of buckets."""
+    out = regs[:, : ROWS * BANDS].copy()
+    line, bucket = np.nonzero(out == 0)
+    for step in range(regs.shape[1]):
+        if not len(line):
+            break
+        found = regs[line, ORDER[bucket, step]]
+        full = found > 0
+        out[line[full], bucket[full]] = found[full]
+        line, bucket = line[~full], bucket[~full]
+    return out
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Lines x BANDS keys."""
+    grid = filled(regs).astype(np.uint64).reshape(len(regs), BANDS, ROWS)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), BANDS))
+    for k in range(ROWS):
+        out = mix(out * PRIME + grid[:, :, k])
+    return out
+
+
+def packs(buckets: int, shingle: int):
+    """Texts to (part, home, kind, tags, lines): of bucket `home` the band keys' upper halves and the hashes of the lines that have them. Kind 0: of
+    keys that few of the PACK have; 1: MOST of each other key; 2: the rest of those, dealt out."""
+
+    def emit(keys, lines, salt):
+        order = np.lexsort((lines, keys))
+        keys, lines = keys[order], lines[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])]
+        keys, lines = keys[new], lines[new]
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        counts = np.diff(edges)
+        rank = np.arange(len(keys)) - np.repeat(edges[:-1], counts)
+        kind = np.where(np.repeat(counts, counts) <= MOST, 0, np.where(rank < MOST, 1, 2))
+        home = (keys % np.uint64(buckets)).astype(np.int64)
+        tags = (keys >> np.uint64(32)).astype(np.uint32)
+        group = home * 3 + kind
+        order = np.argsort(group, kind="stable")
+        group, home, kind, tags, lines = group[order], home[order], kind[order], tags[order], lines[order]
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+        first = edges[:-1]
+        part = np.where(kind[first] == 2, buckets + np.int64(salt), home[first])
+        cut = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        columns = [pa.array(part, pa.int64()), pa.array(home[first], pa.int64()), pa.array(kind[first], pa.int32()), pa.array([tags[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([lines[a:b].tobytes() for a, b in cut], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "home", "kind", "tags", "lines"])
+
+    def run(batches):
+        seen: set[int] = set()
+        fresh, hashes, size, parts, held = [], [], 0, [], 0
+
+        def sketched():
+            nonlocal fresh, hashes, size, held
+            if fresh:
+                keys = band_keys(sketch(fresh, shingle))
+                parts.append((keys.ravel(), np.repeat(np.array(hashes, np.uint64), BANDS)))
+                held += keys.size
+            fresh, hashes, size = [], [], 0
+
+        def sent():
+            nonlocal held
+            keys, lines = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            held = 0
+            return emit(keys, lines, int(lines[0] & np.uint64(0xFFFFFF)))
+
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                for text in batch["text"][at : at + 64].to_pylist():
+                    for line in text.split("\n"):
+                        if not line.strip(WHITE):
+                            continue
+                        h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), seed=SEED)
+                        if h in seen:
+                            continue
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(h)
+                        fresh.append(line)
+                        hashes.append(h)
+                        size += len(line)
+                        if size >= CHUNK or len(fresh) >= 8192:
+                            sketched()
+                            if held >= PACK:
+                                yield sent()
+        sketched()
+        if held:
+            yield sent()
+
+    return run
+
+
+def gathered(group: pa.Table) -> pa.Table:
+    """A bucket's packs to (nodes, band, node): nodes are the lines of a key, where they are all known here and BLOCK at most; else a row a line."""
+    kinds, homes = group["kind"].to_numpy(), group["home"].to_numpy()
+    tags = [np.frombuffer(x, np.uint32) for x in group["tags"].to_pylist()]
+    lines = [np.frombuffer(x, np.uint64) for x in group["lines"].to_pylist()]
+    of = lambda a, b: (np.concatenate([t.astype(np.int64) for t in a]), np.concatenate(b).view(np.int64))
+    loose = [k for k, x in enumerate(kinds) if x == 2]
+    bands, alone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in loose:
+        bands.append(homes[k] << 32 | tags[k].astype(np.int64))
+        alone.append(lines[k].view(np.int64))
+    own = [k for k, x in enumerate(kinds) if x != 2]
+    values, offsets = np.zeros(0, np.int64), [0]
+    if own:
+        tag, line = of([tags[k] for k in own], [lines[k] for k in own])
+        more = np.repeat(kinds[own] == 1, [len(tags[k]) for k in own])
+        order = np.lexsort((line, tag))
+        tag, line, more = tag[order], line[order], more[order]
+        edges = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1]])
+        hot = np.repeat(np.logical_or.reduceat(more, edges), np.diff(np.r_[edges, len(tag)]))
+        new = np.r_[True, (tag[1:] != tag[:-1]) | (line[1:] != line[:-1])]
+        tag, line, hot = tag[new], line[new], hot[new]
+        edges = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1], True])
+        counts = np.diff(edges)
+        loose = np.repeat(hot[edges[:-1]] | (counts > BLOCK), counts)
+        bands.append(homes[own[0]] << 32 | tag[loose])
+        alone.append(line[loose])
+        together = ~loose & np.repeat(counts > 1, counts)
+        values = line[together]
+        sizes = counts[(counts > 1) & ~loose[edges[:-1]]]
+        offsets = np.r_[0, np.cumsum(sizes)]
+    band, node = np.concatenate(bands), np.concatenate(alone)
+    nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+    n, m = len(nodes), len(band)
+    return pa.table({"nodes": pa.concat_arrays([nodes, pa.nulls(m, nodes.type)]), "band": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(band, pa.int64())]), "node": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(node, pa.int64())])})
+
+
+def linked_lines(threshold: float, shingle: int):
+    """For sorted blocks (cluster, block, ..., node, payload) the verified links that connect what is similar in a block. Rows with comp and query are
+    those of blocks whose classes are known in part."""
+
+    def shingles(line: str):
+        return {line[k : k + shingle] for k in range(max(1, len(line) - shingle + 1))}
+
+    def alike(a, b) -> bool:
+        if not isinstance(a, set):
+            return jaccard_at_least(a, b, threshold)
+        least, most = sorted((len(a), len(b)))
+        bar = round(100 * threshold)
+        if 100 * least < bar * most:
+            return False
+        both = len(a & b)
+        return 100 * both >= bar * (least + most - both)
+
+    def block(group: pa.Table) -> list[tuple[int, int]]:
+        nodes, keep = np.unique(group["node"].to_numpy(), return_index=True)
+        if len(nodes) < 2:
+            return []
+        payloads = group["payload"].to_pylist()
+        lines = [payloads[i] for i in keep]
+        sets = [shingles(x) for x in lines] if sum(map(len, lines)) <= PLAIN else [char_set(x, shingle) for x in lines]
+        out = []
+        if "comp" in group.column_names:
+            label, query = group["comp"].to_numpy()[keep].copy(), group["query"].to_numpy(zero_copy_only=False)[keep]
+            for i in np.flatnonzero(query):
+                for j in np.flatnonzero(label != label[i]):
+                    if label[i] != label[j] and alike(sets[i], sets[j]):
+                        out.append((int(nodes[i]), int(nodes[j])))
+                        label[label == label[i]] = label[j]
+            return out
+        left = list(range(len(nodes)))
+        while left:
+            front = [left.pop()]
+            while front and left:
+                i, rest = front.pop(), []
+                for j in left:
+                    if alike(sets[i], sets[j]):
+                        out.append((int(nodes[i]), int(nodes[j])))
+                        front.append(j)
+                    else:
+                        rest.append(j)
+                left = rest
+        return out
+
+    def task(keys: list[str]):
+        def run(batches):
+            for groups in grouped(batches, keys):
+                links = [link for g in groups for link in block(g)]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+        return run
+
+    return task
+
+
+def split_lines(text: str) -> Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+
+
+def full(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09\x0b-\x0d]")
+
+
+def judged_rows(docs: DataFrame, threshold: float, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """(rid, doc_id, k1, k2, n_lines, gone): a row for each row; gone lists the numbers of lines that go, null for none; k1 and k2 are hashes of id and text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(id_column, text_column).alias("place"), F.col(text_column).alias("text"))
-    made = rows.mapInArrow(partial(sketched, shingle=shingle), "doc_id bigint, place bigint, line int, n bigint, digest binary, sig binary")
-    lines = stored(made.withColumn("rid", F.monotonically_increasing_id()))
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        got = maybe_in(rows, "place", wanted).mapInArrow(lines_of, "digest binary, payload binary").withColumn("_key", F.xxhash64("digest"))
-        near = maybe_in(got, "_key", wanted.select(F.xxhash64("digest").alias("_key")))
-        return near.dropDuplicates(["digest"]).join(wanted.drop("place"), "digest").drop("digest", "_key")
-
-    found = classes(lines, fetch, partial(char_set, shingle=shingle), threshold, BUCKET_BITS, MANTISSA, exact=False)
-    # lines of classes that hold one line only stay as they are and meet nothing
-    found = stored(found.withColumn("lone", (F.col("copies") == 1) & ~F.col("linked")).where("not lone").select("digest", "comp"))
-    slim = lines.select("rid", "doc_id", "place", "line", "digest", F.xxhash64("digest").alias("_key"))
-    marked = flagged(slim, "_key", found.select(F.xxhash64("digest").alias("_key"))).drop("_key")
+    hashed = F.transform(split_lines(text_column), lambda x: F.when(full(x), F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2"))))
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(id_column, text_column).alias("k1"), F.xxhash64(text_column, id_column, F.lit(1)).alias("k2"), hashed.alias("h"))
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()))
+    total = rows.agg(F.sum(F.size("h"))).first()[0] or 0
+    known = line_classes(docs, total, threshold, text_column, shingle)
+
+    lines = rows.select("rid", "doc_id", F.posexplode("h").alias("line", "x")).where("x is not null").select("rid", "doc_id", "line", F.col("x").alias("same"), F.col("x.h1").alias("h1"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "line", "rid")
-    items = stored(attach(marked.where("_maybe and digest is not null").drop("_maybe"), found, "digest", "rid"))
-    first = items.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_first"))
-    # the line that stays is found by its own row; all others of a component go
-    judged = items.join(stored(first), items.rid == F.col("_first"), "left").select("doc_id", "place", "line", (F.col("comp").isNull() | F.col("_first").isNotNull()).alias("kept"))
-    return judged.union(marked.where("not _maybe or digest is null").select("doc_id", "place", "line", F.lit(True)))
+    groups = stored(lines.groupBy("same").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.col("same.h1")))
+    # should two lines ever share the first hash, the one of the smaller second hash was searched
+    searched = known.join(groups, "node").groupBy("node", "comp").agg(F.min(F.struct("same", "first")).alias("x")).select("comp", "x.same", "x.first")
+    searched = stored(searched)
+    least = searched.groupBy("comp").agg(F.min("first").alias("stays"))
+    several = attach(searched, least, "comp", "same", "inner").select("same", "stays")
+    alone = groups.where("copies > 1").select("same", F.col("first").alias("stays")).join(several.select("same"), "same", "left_anti")
+    met = stored(several.union(alone).withColumn("h1", F.col("same.h1")))
+    # a line that no other is like meets nothing
+    near = maybe_in(lines, "h1", met).drop("h1")
+    gone = attach(near, met.select("same", "stays"), "same", "rid", "inner").where((F.col("rid") != F.col("stays.rid")) | (F.col("line") != F.col("stays.line")))
+    gone = gone.groupBy("rid").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    return rows.select("rid", "doc_id", "k1", "k2", F.size("h").alias("n_lines")).join(gone, "rid", "left")
+
+
+def line_classes(docs: DataFrame, total: int, threshold: float, text_column: str, shingle: int) -> DataFrame:
+    """(node, comp): the lines, by their 64-bit hashes, that links connect, with the smallest of each component."""
+    buckets = max(16, total * BANDS // COUNTED)
+    texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    packed = texts.mapInArrow(packs(buckets, shingle), "part bigint, home bigint, kind int, tags binary, lines binary")
+    found = stored(packed.groupBy("part").applyInArrow(gathered, "nodes array<bigint>, band bigint, node bigint"))
+    # of keys with the same lines one is looked at
+    groups = found.where("nodes is not null").select("nodes").distinct()
+    where = stored(groups.select(F.xxhash64("nodes").alias("cluster"), F.explode("nodes").alias("node"), F.lit(1).alias("blocks"), F.lit(0).alias("block")))
+    hot = stored(found.where("band is not null").select(F.xxhash64("band", F.lit(1)).alias("cluster"), "node").distinct())
+    if hot.take(1):
+        where = where.union(placed(hot))
+
+    def get(wanted: DataFrame) -> DataFrame:
+        wanted = stored(wanted)
+        lines = texts.select(F.explode(split_lines("text")).alias("payload")).where(full(F.col("payload"))).withColumn("node", F.xxhash64("payload"))
+        lines = maybe_in(lines, "node", wanted).groupBy("node").agg(F.min(F.struct(F.xxhash64("payload", F.lit(1)).alias("h2"), "payload")).alias("x"))
+        return wanted.join(lines, "node").withColumn("payload", F.col("x.payload")).drop("x")
+
+    return search_clusters(where, get, linked_lines(threshold, shingle))
+
+
+def fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, k1, k2, line, kept): a row for each line; k1 and k2 are hashes of its row's id and text."""
+    found = judged_rows(docs, threshold, id_column, text_column, shingle)
+    marks = F.expr("transform(sequence(0, n_lines - 1), i -> gone is null or not array_contains(gone, i))")
+    return found.select("doc_id", "k1", "k2", F.posexplode(marks).alias("line", "kept"))
 
 
 def without_fuzzy_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the lines that stay; all columns are kept. Repeated rows are taken together: a line stays in all if it stays in one."""
-    found = fuzzy_lines(docs, threshold).groupBy("place", "line").agg(F.max("kept").alias("kept"))
-    gone = stored(found.where("not kept").groupBy("place").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("place", "_place"))
-    keyed = docs.withColumn("_here", F.xxhash64("doc_id", "text")).join(gone, F.col("_here") == F.col("_place"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return keyed.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).drop("_here", "_place", "_gone")
+    k1, k2, gone = free(docs, "_k1", "_k2", "_gone")
+    found = stored(judged_rows(docs, threshold, "doc_id", "text", SHINGLE))
+    gone_in = found.select("k1", "k2", F.explode(F.coalesce("gone", F.array().cast("array<int>"))).alias("line")).groupBy("k1", "k2", "line").agg(F.count(F.lit(1)).alias("n"))
+    rows = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"))
+    lost = gone_in.join(rows, ["k1", "k2"]).where("n = rows").groupBy("k1", "k2").agg(F.collect_list("line").alias(gone)).toDF(k1, k2, gone)
+    keyed = docs.withColumn(k1, F.xxhash64("doc_id", "text")).withColumn(k2, F.xxhash64("text", "doc_id", F.lit(1))).join(lost, [k1, k2], "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return keyed.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).drop(k1, k2, gone)
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, n_lines, n_kept, dropped): dropped lists line numbers, from 0, ascending. Rows that repeat whole are reported in one row."""
-    found = fuzzy_lines(table(spark, sf_dir, "documents"), shingle=FINE)
-    gone = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line"))))
-    out = found.groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"), gone.alias("gone"))
-    return out.select("doc_id", "n_lines", "n_kept", F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("dropped"))
+    """(doc_id, n_lines, n_kept, dropped): a row for each row; dropped lists line numbers, from 0, ascending."""
+    found = judged_rows(table(spark, sf_dir, "documents"), THRESHOLD, "doc_id", "text", FINE)
+    lost = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - lost).cast("long").alias("n_kept"), F.coalesce(F.array_join(F.transform("gone", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"))

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from arborel.llm import common, neardup, queries
@@ -20,9 +19,7 @@ def test_maybe_in_keeps_all_wanted(spark):
     assert common.maybe_in(rows, "k", wanted.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hub", [1_000_000, 2])
-def test_components_by_window_and_by_salts(spark, monkeypatch, hub):
-    monkeypatch.setattr(common, "HUB", hub)
+def test_components_with_a_hub(spark):
     links = spark.createDataFrame([(5, i) for i in range(6, 60)] + [(100, 101), (101, 102), (103, 102), (59, 100)], "a bigint, b bigint")
     assert {r.comp for r in common.components(links).collect()} == {5}
 
