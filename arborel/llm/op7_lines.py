@@ -24,18 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import attach, free, maybe_in, small_batches, stored, table
-from .neardup import BLOCK, grouped, jaccard_at_least, mix, placed, search_clusters
+from .neardup import BLOCK, grouped, mix, placed, search_clusters
 
 SHINGLE, FINE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 5, 0.8, 8, 10
 ROWS, BANDS = 6, 24
 #: Characters whose shingles are hashed at once.
 CHUNK = 1 << 18
 #: Band keys that a worker gathers before it sends them; lines of a key that it sends of them to the key's own task; keys that a task compares.
-PACK, MOST, COUNTED = 1 << 21, 16, 1 << 20
+PACK, MOST, COUNTED = 1 << 20, 16, 1 << 20
 #: Lines that a worker remembers, so as to sketch equal ones once.
-SEEN = 1 << 19
-#: Characters of a group of candidates up to which its shingles are compared as text.
-PLAIN = 1 << 20
+SEEN = 1 << 18
 SEED = 42  # of the built-in xxhash64
 WHITE = " \t\r\x0b\x0c"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -53,10 +51,33 @@ def rolled(chars: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    out = np.sort(hashes)
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
 def char_set(line: bytes | str, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a line's shingles."""
     chars = codes(line.decode("utf-8", "surrogatepass") if isinstance(line, bytes) else line)
-    return np.unique(rolled(chars, min(shingle, len(chars)))) if len(chars) else np.zeros(0, np.uint64)
+    return distinct(rolled(chars, min(shingle, len(chars)))) if len(chars) else np.zeros(0, np.uint64)
+
+
+def char_sets(lines: list[str], shingle: int) -> list[np.ndarray]:
+    """The set of each line; shingles of many lines are hashed at once."""
+    out, at = [], 0
+    while at < len(lines):
+        end, total = at, 0
+        while end < len(lines) and (end == at or total + len(lines[end]) <= CHUNK):
+            total += len(lines[end])
+            end += 1
+        hashes = rolled(codes("".join(lines[at:end])), shingle) if total >= shingle else None
+        start = 0
+        for line in lines[at:end]:
+            n = len(line)
+            out.append(distinct(hashes[start : start + n - shingle + 1]) if n >= shingle else char_set(line, shingle))
+            start += n
+        at = end
+    return out
 
 
 def sketch(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
@@ -227,54 +248,74 @@ def gathered(group: pa.Table) -> pa.Table:
 def linked_lines(threshold: float, shingle: int):
     """For sorted blocks (cluster, block, ..., node, payload) the verified links that connect what is similar in a block. Rows with comp and query are
     those of blocks whose classes are known in part."""
+    bar = round(100 * threshold)
 
-    def shingles(line: str):
-        return {line[k : k + shingle] for k in range(max(1, len(line) - shingle + 1))}
-
-    def alike(a, b) -> bool:
-        if not isinstance(a, set):
-            return jaccard_at_least(a, b, threshold)
-        least, most = sorted((len(a), len(b)))
-        bar = round(100 * threshold)
-        if 100 * least < bar * most:
+    def two(a: np.ndarray, b: np.ndarray) -> bool:
+        if 100 * min(len(a), len(b)) < bar * max(len(a), len(b)):
             return False
-        both = len(a & b)
-        return 100 * both >= bar * (least + most - both)
-
-    def block(group: pa.Table) -> list[tuple[int, int]]:
-        nodes, keep = np.unique(group["node"].to_numpy(), return_index=True)
+        both = np.sort(np.concatenate([a, b]))
+        both = int((both[1:] == both[:-1]).sum())
+        return 100 * both >= bar * (len(a) + len(b) - both)
+
+    def like(sets: list[np.ndarray]):
+        """A function of i: which sets are similar to set i, by the distinct shingles of all, each known by a number."""
+        sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        number = np.empty(len(every), np.int64)
+        number[order] = np.cumsum(np.r_[0, every[order[1:]] != every[order[:-1]]])
+        holds = np.zeros(len(every), np.int32)
+
+        def similar(i: int) -> np.ndarray:
+            own = number[ends[i] - sizes[i] : ends[i]]
+            holds[own] = 1
+            both = np.add.reduceat(holds[number], ends - sizes)
+            holds[own] = 0
+            return 100 * both >= bar * (sizes[i] + sizes - both)
+
+        return similar
+
+    def block(nodes: np.ndarray, sets: list[np.ndarray], label=None, query=None) -> list[tuple[int, int]]:
         if len(nodes) < 2:
             return []
-        payloads = group["payload"].to_pylist()
-        lines = [payloads[i] for i in keep]
-        sets = [shingles(x) for x in lines] if sum(map(len, lines)) <= PLAIN else [char_set(x, shingle) for x in lines]
-        out = []
-        if "comp" in group.column_names:
-            label, query = group["comp"].to_numpy()[keep].copy(), group["query"].to_numpy(zero_copy_only=False)[keep]
+        if label is None and len(nodes) == 2:
+            return [(int(nodes[0]), int(nodes[1]))] if two(*sets) else []
+        similar, out = like(sets), []
+        if label is not None:
             for i in np.flatnonzero(query):
-                for j in np.flatnonzero(label != label[i]):
-                    if label[i] != label[j] and alike(sets[i], sets[j]):
+                for j in np.flatnonzero(similar(i) & (label != label[i])):
+                    if label[i] != label[j]:
                         out.append((int(nodes[i]), int(nodes[j])))
                         label[label == label[i]] = label[j]
             return out
-        left = list(range(len(nodes)))
-        while left:
-            front = [left.pop()]
-            while front and left:
-                i, rest = front.pop(), []
-                for j in left:
-                    if alike(sets[i], sets[j]):
-                        out.append((int(nodes[i]), int(nodes[j])))
-                        front.append(j)
-                    else:
-                        rest.append(j)
-                left = rest
+        left = np.ones(len(nodes), bool)
+        while left.any():
+            front = [int(left.argmax())]
+            left[front[0]] = False
+            while front and left.any():
+                i = front.pop()
+                for j in np.flatnonzero(similar(i) & left).tolist():
+                    left[j] = False
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    front.append(j)
         return out
 
     def task(keys: list[str]):
         def run(batches):
             for groups in grouped(batches, keys):
-                links = [link for g in groups for link in block(g)]
+                links, known = [], "comp" in groups[0].column_names if groups else False
+                some, size = [], 0
+                for k, g in enumerate(groups):
+                    nodes, keep = np.unique(g["node"].to_numpy(), return_index=True)
+                    lines = g["payload"].take(pa.array(keep)).to_pylist()
+                    some.append((nodes, lines, g["comp"].to_numpy()[keep].copy() if known else None, g["query"].to_numpy(zero_copy_only=False)[keep] if known else None))
+                    size += sum(map(len, lines))
+                    if size >= CHUNK or k == len(groups) - 1:
+                        sets = iter(char_sets([x for _, part, _, _ in some for x in part], shingle))
+                        for nodes, lines, label, query in some:
+                            links += block(nodes, [next(sets) for _ in lines], label, query)
+                        some, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
         return run
