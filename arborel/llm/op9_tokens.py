@@ -4,7 +4,8 @@ A pre-token is a word with a mark for the space before it. Its tokens are the se
 unigram model whose pieces are those of a public vocabulary (never trained here) and whose probabilities fall with a piece's rank by
 Zipf's law; of equal sums the segmentation of fewer tokens wins. Characters without a piece cost their UTF-8 bytes. Distinct pre-tokens
 are inserted in a trie; a node's best forward score is computed when it is made, from its ancestors', so each shared prefix is scored once, and
-the count of a pre-token is read at its terminal node. A worker's trie is dropped and begun anew at NODES nodes, which bounds memory and changes no count.
+the count of a pre-token is read at its terminal node. A worker's trie is dropped and begun anew at NODES nodes, and a pre-token of over LONG bytes
+is scored by the same steps over the last scores alone, without nodes; both bound memory and change no count.
 
 Null, empty and white texts have 0 words and tokens. Rows that repeat are counted each. Other columns are not read. The vocabulary is read
 on the driver and broadcast (some 32,000 pieces)."""
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-NODES = 1_000_000
+NODES, LONG = 1_000_000, 256
 SPACE = "▁"
 
 
@@ -77,7 +78,28 @@ class Trie:
             path.append(node)
         return node
 
+    def rolled(self, word: str) -> int:
+        """The count of a word of any length, from the scores of its last `longest` prefixes."""
+        bests, counts, dropped = [0.0], [0], 0
+        for i, c in enumerate(word):
+            size = len(c.encode("utf-8", "surrogatepass"))
+            best, count = bests[-1] + self.byte * size, counts[-1] + size
+            for start in range(i, max(-1, i - self.longest), -1):
+                s = self.scores.get(word[start : i + 1])
+                if s is not None:
+                    total, n = bests[start - dropped] + s, counts[start - dropped] + 1
+                    if total > best + 1e-9 or (total > best - 1e-9 and n < count):
+                        best, count = total, n
+            bests.append(best)
+            counts.append(count)
+            if len(bests) > 1024 + self.longest:
+                dropped += 1024
+                del bests[:1024], counts[:1024]
+        return counts[-1]
+
     def tokens(self, word: bytes) -> int:
+        if len(word) > LONG:
+            return self.rolled(SPACE + word.decode("utf-8", "surrogatepass"))
         n = self.words.get(word)
         if n is None:
             if len(self.best) > self.most:

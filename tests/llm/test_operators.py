@@ -464,6 +464,33 @@ def whole_text_spans(model, text):
     return [(a, b, k) for a, b, k in op8_pii.spans_of(best) if op8_pii.plausible(text[a:b], k)]
 
 
+def test_pii_leaves_prose_alone(spark):
+    """No span is added in what only looks like personal data, and other forms are found in prose."""
+    model, rng = op8_pii.trained(), random.Random(81)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    clean = ["they met at annteas. Toonor bletion was late", "key 4d6b2755a36d7d9c25bd72c4 of 2024-01-02", "look at this, dot by dot", "version 1.2.3 at 10:30, page 12 of 400", "thenhe at anntea. Toonorbletion"]
+    for _ in range(200):
+        clean.append(f"{word()} at {word()}. {word().capitalize()} {''.join(rng.choice('0123456789abcdef') for _ in range(30))} {digits(4)}-{digits(2)}-{digits(2)}")
+    assert sum(len(added) for _, added in op8_pii.found(model, clean)) <= 2
+    forms = [lambda: f"{word()} at {word()} dot com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()} (at) {word()} (dot) de", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: "-".join(str(rng.randint(0, 255)) for _ in range(4))]
+    for form in forms:
+        texts = [(f"{word()} {word()} ", form(), f" {word()} {word()}.") for _ in range(100)]
+        got = op8_pii.found(model, ["".join(t) for t in texts])
+        assert sum((len(a), len(a) + len(b)) in [s[:2] for s in added] for (a, b, _), (_, added) in zip(texts, got)) >= 80
+
+
+def test_pii_decoding_is_the_best_sequence():
+    rng = np.random.default_rng(12)
+    p = op8_pii.start_values(4)
+    x = rng.integers(0, len(op8_pii.CHARS), (3, 4))
+    em, _ = op8_pii.emissions(p, x)
+    for row, got in zip(em, op8_pii.decode(p, x)):
+        value = lambda tags: sum(row[k, t] for k, t in enumerate(tags)) + sum(p["t"][a, b] for a, b in zip(tags, tags[1:]))
+        assert tuple(got.tolist()) == max(itertools.product(range(op8_pii.TAGS), repeat=4), key=value)
+
+
 def test_pii_whole_texts():
     model, rng = op8_pii.trained(), np.random.default_rng(9)
     texts = ["", "a", "x" * 64, "1" * 65, "at", "mail anna at\nexample dot com now", "mail anna {at} example dot com", "to a.very.long.name.of.a.person.who.writes at company dot de " * 3, "٣" * 13 + " " + "²" * 12]
@@ -499,6 +526,10 @@ def test_tokens(spark, odd, nothing):
         assert got[i].n_words == len(words(t)) and got[i].n_tokens == sum(map(plain, words(t))), t
     small = op9_tokens.Trie(scores, nodes=5)
     assert [small.tokens(w.encode()) for w in ("abca", "abcab", "ba", "abca")] == [plain(w) for w in ("abca", "abcab", "ba", "abca")]
+    # a very long word is scored without nodes
+    trie, long = op9_tokens.Trie(scores), "".join(rng.choice("abcd é") for _ in range(5000)).replace(" ", "b")
+    assert trie.tokens(long.encode()) == plain(long) and len(trie.best) == 1
+    assert all(trie.rolled("▁" + w) == plain(w) for t in texts for w in words(t))
     # a prefix that is shared makes no new nodes
     trie = op9_tokens.Trie(scores)
     trie.insert("▁abca")
