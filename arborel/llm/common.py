@@ -79,7 +79,7 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, spread, how: str = "lef
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of links(a long, b long): rows (node, comp), comp the smallest node reached; only nodes with links.
+    """Connected components of links(a long, b long): rows (node, comp), comp the smallest node reached; only nodes with links. Stored.
 
     Distributed union-find by alternating large-star and small-star steps (Kiveris et al., 2014). Each round is one job, whose state is a written
     table, and which tells by an observed flag whether anything moved. A node's minimum is pre-aggregated map-side and met in a join on the
@@ -87,14 +87,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
         watch = Observation()
-        after = stored(_small_star(_large_star(edges)).observe(watch, F.max("moved").alias("moved"))).drop("moved")
+        after = stored(_small_star(_large_star(edges)).observe(watch, F.max("moved").alias("moved")))
         discard(edges)
         edges = after
         if not watch.get["moved"]:
             break
     else:
         raise RuntimeError("connected components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+    out = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct())
+    discard(edges)
+    return out
 
 
 def _starred(arcs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, components, maybe_in, stored
+from .common import attach, components, discard, maybe_in, stored
 
 #: Most nodes of a cluster in one block, and anchors that a block is given besides.
 BLOCK, ANCHORS = 500, 8
@@ -256,7 +256,8 @@ def classes(sketches: DataFrame, fetch, decode, threshold: float, bits: int, man
     near = stored(likely_links(firsts, groups.count() * ((1 << bits) // ROWS), threshold, mantissa, exact))
 
     # only numbers move until sets are fetched once
-    clusters = stored(components(near).select("node", F.col("comp").alias("cluster")))
+    clusters = components(near).select("node", F.col("comp").alias("cluster"))
+    discard(near)
     where = firsts.select("node", "place", "digest")
     known = search_clusters(placed(clusters), lambda rows: fetch(stored(where.join(rows, "node"))), lambda keys: searched(decode, bits, mantissa, threshold, keys))
     return groups.join(known, "node", "left").select("digest", "node", F.coalesce("comp", "node").alias("comp"), "copies", F.col("comp").isNotNull().alias("linked"))
@@ -281,7 +282,8 @@ def search_clusters(where: DataFrame, get, task) -> DataFrame:
         picked = picked.withColumn("s", F.pmod(F.col("x.h"), F.lit(ANCHORS))).groupBy("cluster", "s", "blocks").agg(F.min("x").alias("x"))
         dealt = dealt.union(picked.select("cluster", F.col("x.node").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))).distinct()
     links = stored(search_by(get(dealt), ["cluster", "block"]))
-    known = stored(components(links))
+    known = components(links)
+    discard(links)
     if not large:
         return known
     # clusters of several blocks: what lies outside the largest class against all
@@ -297,7 +299,7 @@ def search_clusters(where: DataFrame, get, task) -> DataFrame:
     both = asking.unionByName(against).groupBy("cluster", "block", "part", "node", "comp").agg(F.max("query").alias("query"))
     more = search_by(get(both), ["cluster", "block", "part"])
     # classes known so far are stars, so they stand for the links already found
-    return stored(components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)))
+    return components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
 
 
 def likely_links(firsts: DataFrame, keys: int, threshold: float, mantissa: int, exact: bool) -> DataFrame:

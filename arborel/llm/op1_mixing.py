@@ -7,7 +7,8 @@ selects documents in an order seeded by a hash of the id, without a global sort:
 and only the range that holds a cut is ordered by rows.
 
 Null and empty texts have size 0 and are never taken. A null source is a source of its own, the last. Rows that repeat are
-documents of their own, ordered among themselves by size. An empty table gives no rows.
+documents of their own, ordered among themselves by size. Very long texts count whole. An empty table gives no rows.
+Other columns aren't read; those kept pass through, whatever their names.
 """
 
 from __future__ import annotations

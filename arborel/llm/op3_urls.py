@@ -9,7 +9,7 @@ Urls are first reduced to distinct (host, path) pairs, so a host that holds a th
 more than MOST_LENGTHS path lengths are an error. The rule table is broadcast only when it holds at most BROADCAST_RULES rows; a longer one is joined by a shuffle on digest prefixes.
 
 A null url, or one without `://`, has an empty host and path and fits no rule. The verdict without a rule is `default`. Rows that repeat are
-judged each. Other columns aren't read.
+judged each. Very long urls are read whole: their paths are never expanded beyond the rules' lengths. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations

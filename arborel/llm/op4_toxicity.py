@@ -10,7 +10,8 @@ logistic scaling on the training documents, as words that are rare but clean tur
 
 At most SAMPLE labelled rows of each class, chosen by a hash of the id, are used for training; scoring covers every word of every text. Runs of
 single letters are read as one word. Null, empty or white texts get the score of a margin of no word. Labels without a document and
-documents without a label are no error; with labels of one class only, all scores are that class's smoothed rate. Rows that repeat are scored each.
+documents without a label are no error; of labels that disagree about a document the toxic one counts; with labels of one class only, all scores are that class's smoothed rate. Rows that repeat are scored each, and very long texts
+whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, table
+from .common import free, small_batches, table
 
 DECAY, SPAN, LANDMARKS, PLAIN = 0.6, 8, 192, 96
 #: Labelled rows of each class used for training, at most.
@@ -249,7 +250,7 @@ def held_out(id_column: str = "doc_id"):
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled rows that aren't held out: of each class the `sample` rows with the smallest hash of the id. Training runs in one task, which gets
     2 * sample texts at most; the driver gets the machine only."""
-    usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample) for c in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "text", "toxic")  # 2 * sample ids at most
 
@@ -262,26 +263,27 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return pickle.loads(found[0].model) if found else trained([], [])
 
 
-def scorer(model: Model, at: int):
+def scorer(model: Model, at: int, name: str):
     def run(batches):
         for batch in batches:
             texts = batch.column(at)
             scores = np.concatenate([model.scores(texts[i : i + 128].to_pylist()) for i in range(0, len(texts), 128)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column _score; all their columns stay, whatever their names."""
+def scored(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """docs with a column `name`, which must be free; all their columns stay."""
     small_batches(docs.sparkSession)
-    schema = docs.select("*", F.lit(0.0).alias("_score")).schema
-    return docs.mapInArrow(scorer(model, docs.columns.index("text")), schema)
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
+    return docs.mapInArrow(scorer(model, docs.columns.index("text"), name), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """The rows that score below the cut, with all their columns."""
-    return scored(docs, model).where(F.col("_score") < cut).drop("_score")
+    """The rows that score below the cut, with all their columns, whatever their names."""
+    (name,) = free(docs, "_score")
+    return scored(docs, model, name).where(F.col(name) < cut).drop(name)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat under one id, one."""
+    """The rows that stay, with all their columns, whatever their names; rows that repeat under one id share its fate."""
     gone = stored(exact_groups(docs).where("not kept").select("place", "text_sha256").distinct())
     return without(docs, [F.xxhash64("doc_id", "text"), F.sha2(F.coalesce("text", F.lit("")), 256)], gone)
 

@@ -28,8 +28,8 @@ from .neardup import BLOCK, grouped, mix, placed, search_clusters
 
 SHINGLE, FINE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 5, 0.8, 8, 10
 ROWS, BANDS = 6, 24
-#: Characters whose shingles are hashed at once.
-CHUNK = 1 << 18
+#: Characters whose shingles are hashed at once, and lines that are sketched at once.
+CHUNK, LINES = 1 << 18, 1024
 #: Band keys that a worker gathers before it sends them; lines of a key that it sends of them to the key's own task; keys that a task compares.
 PACK, MOST, COUNTED = 1 << 20, 16, 1 << 20
 #: Lines that a worker remembers, so as to sketch equal ones once.
@@ -197,7 +197,7 @@ def packs(buckets: int, shingle: int):
                         fresh.append(line)
                         hashes.append(h)
                         size += len(line)
-                        if size >= CHUNK or len(fresh) >= 8192:
+                        if size >= CHUNK or len(fresh) >= LINES:
                             sketched()
                             if held >= PACK:
                                 yield sent()

@@ -603,3 +603,81 @@ def test_decontaminate_silent_items(spark):
     keys = {r.k: r.doc_id for r in df.select("doc_id", op10_decontaminate.row_key().alias("k")).collect()}
     assert {(keys[r.rk], r.item_id) for r in op10_decontaminate.leaks(df, bench).collect()} == {(1, 1), (3, 2)}
     assert op10_decontaminate.without_leaks(df, bench).count() == 2
+
+
+# plain versions of parts
+
+
+def test_flow_is_the_cheapest_of_the_largest():
+    rng = random.Random(101)
+    for _ in range(25):
+        patterns = rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "c")], rng.randint(1, 3))
+        capacity = {p: rng.randint(0, 2) for p in patterns}
+        quota = {s: rng.randint(0, 3) for p in patterns for s in p}
+        arcs = [(p, s) for p in patterns for s in p]
+        best = None
+        for flow in itertools.product(*[range(2 * capacity[p] + 1) for p, _ in arcs]):
+            by_pattern, by_source = collections.Counter(), collections.Counter()
+            for (p, s), x in zip(arcs, flow):
+                by_pattern[p] += x
+                by_source[s] += x
+            if all(by_pattern[p] <= 2 * capacity[p] for p in patterns) and all(by_source[s] <= quota[s] for s in quota):
+                cost = sum((t // capacity[p]) ** 2 for p in patterns for t in range(by_pattern[p]))
+                best = max(best or (0, 0), (sum(flow), -cost)) if best else (sum(flow), -cost)
+        got = op1_mixing.min_cost_flow(capacity, quota, 2)
+        by_pattern = collections.Counter()
+        for (p, _), x in got.items():
+            by_pattern[p] += x
+        assert (sum(got.values()), -sum((t // capacity[p]) ** 2 for p in patterns for t in range(by_pattern[p]))) == best
+
+
+def test_kernel_of_gapped_triples():
+    marks, others = ["idiot", "stupid", "moron"], ["id.i.ot", "stuuupid", "tulip", "ab", "mmoorroonn", "xyz", "a"]
+
+    def plain(word):
+        out = collections.Counter()
+        norm = 0.0
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i + 1 <= op4_toxicity.SPAN:
+                w = op4_toxicity.DECAY ** (k - i + 1)
+                out[word[i] + word[j] + word[k]] += w
+                norm += w * w
+        return {t: w / (norm**0.5 or 1.0) for t, w in out.items()}
+
+    kernel = op4_toxicity.Kernel(marks)
+    got = kernel.against(others + marks, kernel.dense(marks))
+    for word, row in zip(others + marks, got):
+        for mark, value in zip(marks, row):
+            a, b = plain(word), plain(mark)
+            assert value == pytest.approx(sum(w * b.get(t, 0) for t, w in a.items()), abs=1e-5)
+
+
+def test_labels_that_disagree(spark):
+    docs = frame(spark, [(i, "you utter moronface" if i % 2 else "a calm and kind text", "a") for i in range(60)])
+    labels = [(i, i % 2) for i in range(60)]
+    one = op4_toxicity.fitted(docs, spark.createDataFrame(labels + [(i, 0) for i in range(60)], "doc_id bigint, toxic int"))
+    other = op4_toxicity.fitted(docs, spark.createDataFrame([(i, 0) for i in range(60)] + labels, "doc_id bigint, toxic int"))
+    assert (one.scores(["you moronface", "kind"]) == other.scores(["you moronface", "kind"])).all()
+
+
+def test_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "https://a.example.org/es/" + "x" * 200_000), (2, "https://" + "a." * 400 + "com/de/"), (3, "http://" + "y" * 100_000)], "page_id bigint, url string")
+    rules = spark.createDataFrame(op3_urls.RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in op3_urls.judged(pages, rules).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("com/de/", "block"), 3: (None, "allow")}
+
+
+def test_lines_of_a_hot_key(spark, monkeypatch):
+    """Many near lines of one template, among them one that repeats often: the blocks of hot band keys give the same components."""
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    monkeypatch.setattr(op7_lines, "BLOCK", 6)
+    rng = random.Random(71)
+    base = "".join(rng.choice("abcdefghij klmno") for _ in range(400))
+    docs = []
+    for i in range(60):
+        at = rng.randrange(len(base))
+        docs.append((i, (base if i % 3 == 0 else base[:at] + "#" + base[at + 1 :]) + "\n" + f"an own line {i} " + "".join(rng.choice("abcdefghij klmno") for _ in range(60)), "a"))
+    got = op7_lines.fuzzy_lines(frame(spark, docs), shingle=5).where("not kept").collect()
+    assert sorted((r.doc_id, r.line) for r in got) == [(i, 0) for i in range(1, 60)]
+    again = op7_lines.fuzzy_lines(frame(spark, docs + docs[:5]), shingle=5)
+    assert again.count() == 130 and again.where("not kept").count() == 59 + 10
