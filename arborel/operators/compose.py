@@ -54,6 +54,8 @@ def compose(catalog: Catalog, entity: str, rows: DataFrame | None = None, query:
 def default(column):
     """What a transient column reads as: its default, else the type's zero."""
     kind = spark_type(column.type)
+    if isinstance(kind, T.ArrayType):
+        return F.array().cast(kind)
     zero = {T.StringType: "", T.BooleanType: False, T.BinaryType: b""}.get(type(kind), 0)
     return F.lit(column.default if column.default is not None else zero).cast(kind)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import Registry
+from ..schema import Registry, spark_type
 
 
 class DoubleSpend(ValueError):
@@ -26,6 +26,19 @@ def explode_trees(registry: Registry, entity: str, trees: DataFrame) -> dict[str
     return out
 
 
+def level(registry: Registry, entity: str, trees: DataFrame, wanted: str) -> DataFrame:
+    """The rows of an entity within trees of one above it, with all that hangs at them: key columns, then the fields of the nested value."""
+    if entity == wanted:
+        return trees
+    for r in registry[entity].relations:
+        if wanted in registry.descendants(r.child) and r.name in trees.columns:
+            keys = registry.keys(entity)
+            one = F.explode(r.name) if r.kind == "many" else F.col(r.name)
+            child = trees.select(*keys, one.alias("_c")).where("_c is not null").select(*keys, "_c.*")
+            return level(registry, r.child, child, wanted)
+    raise LookupError(f"no {wanted} in trees of {entity}")
+
+
 def births(values: DataFrame, column: str, keys: list[str], known: DataFrame | None = None) -> DataFrame:
     """(column, birth): the dictionary. A known value keeps its birth for ever; a new one is born with the smallest key that holds it."""
     new = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*keys)).alias("birth"))
@@ -45,8 +58,10 @@ def collected(dictionary: DataFrame, column: str, left: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows replace those of equal key; of rows with one key in the same batch any one may win, so give each key once."""
-    return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+    """rows replace those of equal key; of rows with one key in the same batch the largest wins, column by column."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_x")).select(*keys, *[F.col("_x")[c].alias(c) for c in rest]) if rest else rows.distinct()
+    return table.join(rows.select(*keys), keys, "left_anti").unionByName(one.select(*rows.columns))
 
 
 def upsert_trees(registry: Registry, entity: str, tables: dict[str, DataFrame], trees: DataFrame) -> dict[str, DataFrame]:
@@ -74,7 +89,7 @@ def double_spends(refs: DataFrame, parent: list[str], ref: list[str]) -> DataFra
 
 def check_spends(refs: DataFrame, parent: list[str], ref: list[str]) -> None:
     if bad := double_spends(refs, parent, ref).take(1):
-        raise DoubleSpend(f"Double spend not supported: {bad[0]}")
+        raise DoubleSpend(f"one output is spent twice: {bad[0]}")
 
 
 def resolve(refs: DataFrame, targets: DataFrame, on: str, target_keys: list[str], sentinel: dict[str, Column | int]) -> DataFrame:
@@ -93,9 +108,10 @@ def resolve_outputs(refs: DataFrame, transactions: DataFrame, tx_keys: list[str]
     """Pointers of (transaction hash, output index) references: the transaction's key and the index. Unresolved ones get zeros, coinbases the index 65535. Indices
     are cut to 16 bits."""
     index = F.col(index_column).bitwiseAND(COINBASE)
-    found = resolve(refs, transactions, hash_column, tx_keys, dict.fromkeys(tx_keys, 0))
-    known = found.join(transactions.select(hash_column).distinct().withColumn("_known", F.lit(True)), hash_column, "left")
-    return known.withColumn("pointer_index", F.when(F.col("_known") | (index == COINBASE), index).otherwise(F.lit(0))).drop("_known")
+    found = transactions.groupBy(hash_column).agg(F.min(F.struct(*tx_keys)).alias("_t"))
+    met = refs.join(found, hash_column, "left")
+    pointer = F.when(F.col("_t").isNotNull() | (index == COINBASE), index).otherwise(F.lit(0))
+    return met.select(*[c for c in met.columns if c != "_t"], *[F.coalesce(F.col("_t")[k], F.lit(0)).alias(k) for k in tx_keys], pointer.alias("pointer_index"))
 
 
 def hook_rows(spenders: DataFrame, keys: list[str], refs: str, index: str) -> DataFrame:
@@ -103,6 +119,31 @@ def hook_rows(spenders: DataFrame, keys: list[str], refs: str, index: str) -> Da
     return spenders.select(*keys, F.posexplode(refs).alias(index, "_ref")).select(*keys, index, "_ref.*")
 
 
+def hooked(registry: Registry, entity: str, rows: DataFrame, known) -> DataFrame:
+    """The child rows that an entity's hook makes: one for each reference of rows (key columns and the transient references), whose pointer column holds the key
+    of what is referenced. By the entity's own hash column a reference is (hash, index); by a relation it is a value of that child's used column. known(entity)
+    gives the rows that can be referenced. A reference that occurs twice within one root is an error, but for those that spend nothing."""
+    hook, keys = registry[entity].hook, registry.keys(entity)
+    relation = next(r for r in registry[entity].relations if r.name == hook.relation)
+    index = registry[relation.child].key.index
+    pointer = next(c for c in registry[relation.child].columns if c.pointer)
+    refs = hook_rows(rows, keys, hook.refs, "_place") if hook.using in {c.name for c in registry[entity].columns} else rows.select(*keys, F.posexplode(hook.refs).alias("_place", "_value"))
+    refs = refs.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in refs.columns if c not in keys])
+    values = [c for c in refs.columns if not c.startswith("_s_") and c != "_place"]
+    spending = refs if len(values) == 1 else refs.where(F.col("index").bitwiseAND(COINBASE) != COINBASE)
+    check_spends(spending, [f"_s_{keys[0]}"], values)
+    if hook.using in {c.name for c in registry[entity].columns}:
+        found = resolve_outputs(refs.withColumnRenamed("hash", hook.using), known(entity), keys, hook.using, "index")
+        parts = [*keys, "pointer_index"]
+    else:
+        target = next(r.child for r in registry[entity].relations if r.name == hook.using)
+        used = next(c.name for c in registry[target].columns if c.used)
+        parts = registry.keys(target)
+        found = resolve(refs.withColumnRenamed("_value", used), known(target), used, parts, dict.fromkeys(parts, 0))
+    kind = spark_type(pointer.type)
+    return found.select(*[F.col(f"_s_{k}").alias(k) for k in keys], F.col("_place").alias(index), F.struct(*[F.col(p).cast(f.dataType).alias(f.name) for p, f in zip(parts, kind)]).alias(pointer.name))
+
+
 def sorted_for_write(rows: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """Range-partitioned and sorted by key, so row groups have narrow bounds on it."""
     dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
@@ -110,7 +151,11 @@ def sorted_for_write(rows: DataFrame, keys: list[str], partitions: int | None =
 
 
 def unsorted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows whose key is not above that of the row before, in the order given within each partition of it."""
-    key = F.struct(*keys)
-    before = F.lag(key).over(Window.partitionBy(F.spark_partition_id()).orderBy(order))
-    return rows.withColumn("_before", before).where((F.col("_before") >= key)).drop("_before")
+    """Rows whose key is not above that of the row before, in the order given: within a partition the row before, and for a partition's first row the last
+    row of the partition before it. The order's partitions are told apart by its upper bits, as monotonically_increasing_id gives them."""
+    key, part = F.struct(*keys), F.shiftright(F.col(order), 33)
+    marked = rows.withColumn("_part", part).withColumn("_before", F.lag(key).over(Window.partitionBy("_part").orderBy(order)))
+    ends = rows.groupBy(part.alias("_p")).agg(F.max_by(key, order).alias("_last"))  # a row a partition
+    ends = ends.withColumn("_last", F.lag("_last").over(Window.orderBy("_p")))
+    met = marked.join(F.broadcast(ends), F.col("_part") == F.col("_p"), "left").withColumn("_before", F.coalesce("_before", "_last"))
+    return met.where(F.col("_before") >= key).select(*rows.columns)

@@ -110,7 +110,7 @@ class Store:
         named = {p.split("/_bucket=")[0] for m in kept for x in m["tables"].values() for p in x.values()} | {p for m in kept for p in m["dictionaries"].values()}
         for top in self.fs.listStatus(self.root):
             name = top.getPath().getName()
-            if name != "_manifests":
+            if not name.startswith("_"):
                 for s in self.fs.listStatus(top.getPath()):
                     if f"{name}/{s.getPath().getName()}" not in named:
                         self.fs.delete(s.getPath(), True)
@@ -127,6 +127,15 @@ class Store:
         new = W.explode_trees(self.registry, entity, trees) if trees is not None else {}
         lost = [x.select(*keys) for x in (trees, gone) if x is not None]
         lost = lost[0] if len(lost) == 1 else lost[0].union(lost[1])
+        for name in self.registry.descendants(entity) if trees is not None else []:
+            if hook := self.registry[name].hook:
+                rows = W.level(self.registry, entity, trees, name)
+                if hook.refs in rows.columns:
+                    # what can be referenced: rows that stay, and the batch's own
+                    known = lambda e: self.table(e, old).join(lost, keys, "left_anti").unionByName(new[e])
+                    made = W.hooked(self.registry, name, rows, known)
+                    child = next(r.child for r in self.registry[name].relations if r.name == hook.relation)
+                    new[child] = made if child not in new else new[child].unionByName(made)
         touched = {r[0] for r in lost.select(self._bucket(entity)).distinct().collect()}  # bucket numbers, not keys
         tables = {e: dict(x) for e, x in old["tables"].items()}
         dictionaries = dict(old["dictionaries"])

@@ -6,6 +6,7 @@ import json
 import logging
 import os
 import tomllib
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
@@ -125,6 +126,13 @@ class Ingest:
 
     def __init__(self, store, root: str, header: str, settings: Settings, height: str = "height"):
         self.store, self.root, self.header, self.settings, self.height = store, root, header, settings, height
+        self.waiting = self._found()
+
+    def _found(self) -> str | None:
+        """The newest table of rows that wait, left by an ingest before this one."""
+        top = self.store._at("_waiting")
+        names = sorted((x.getModificationTime(), x.getPath().toString()) for x in self.store.fs.listStatus(top)) if self.store.fs.exists(top) else []
+        return names[-1][1] if names else None
 
     def persist_or_link(self, trees: DataFrame, fork_height: int) -> int | None:
         trees = trees.persist()
@@ -147,13 +155,88 @@ class Ingest:
         finally:
             trees.unpersist()
 
+    def tip(self) -> int:
+        """The last stored height; one below the start if there is none."""
+        last = self.store.table(self.root).agg(F.max(self.height)).first()[0]
+        return self.settings.start - 1 if last is None else last
+
+    def _pending(self) -> DataFrame | None:
+        return self.store.spark.read.parquet(self.waiting) if self.waiting else None
+
+    def arrive(self, rows: DataFrame, build: Callable[[DataFrame], DataFrame], tip: int | None = None) -> dict:
+        """Rows (height, raw) in any order: those that continue the chain without a gap are built, cut into weight batches and stored in order, together
+        with what waited; others wait in a written table; of equal heights the first arrival counts. A row at or below the tip is late: it is dropped, unless it
+        reaches into the fork window and no header has its hash, when it takes part in a fork. Far behind `tip` (batch mode) every `non_durable_batches`-th
+        batch is published with those before it, else each. Returns what happened."""
+        spark, h, s = self.store.spark, self.height, self.settings
+        next_ = self.tip() + 1
+        held = rows.select(h, "raw").withColumn("_turn", F.lit(1))
+        if (waiting := self._pending()) is not None:
+            held = held.unionByName(waiting.withColumn("_turn", F.lit(0)))
+        held = held.groupBy(h, "raw").agg(F.min("_turn").alias("_turn")).persist()
+        try:
+            low = held.where(F.col(h) < next_)
+            reach = low.where(F.col(h) >= next_ - s.fork_detection_heights)
+            forks = build(reach.select(h, "raw")).select("*", F.col("header.hash").alias("_hash")).join(self.store.table(self.header).select(F.col("hash").alias("_hash")), "_hash", "left_anti").drop("_hash").persist()
+            forked = forks.count()
+            one = held.where(F.col(h) >= next_).groupBy(h).agg(F.min_by("raw", F.struct("_turn", "raw")).alias("raw"))
+            ready = chain.contiguous(one.select(h), next_, h)
+            told = {"next": next_, "late": low.count() - forked, "forks": forked, "versions": 0}
+            # a fork and what follows it are linked together
+            trees = build(one.join(ready, h, "left_semi"))
+            if forked:
+                both = forks.unionByName(trees, allowMissingColumns=True)
+                told["versions"] += self.persist_or_link(both, 0) is not None
+            else:
+                told["versions"] += self._store(trees, tip)
+            after = one.where(F.col(h) > self.tip())
+            self._wait(after)
+            told |= {"tip": self.tip(), "waiting": self._pending().count() if self.waiting else 0}
+            return told
+        finally:
+            held.unpersist()
+
+    def _store(self, trees: DataFrame, tip: int | None) -> int:
+        """Stores linked trees in weight batches; the number of versions."""
+        h, s = self.height, self.settings
+        trees = trees.persist()
+        try:
+            first, last = trees.agg(F.min(h), F.max(h)).first()
+            if first is None:
+                return 0
+            mode = chain.mode(last if tip is None else tip, first - 1, s.fork_detection_heights)
+            weight = F.col("header.weight") if "weight" in trees.schema["header"].dataType.names else F.lit(1)
+            slim = trees.select(F.lit("chain").alias("chain"), h, weight.cast("long").alias("weight"))
+            batches = chain.weight_batches(slim, ["chain"], h, "weight", s.min_entity_batch_size, s.max_items)
+            spans = [(r["a"], r["b"]) for r in batches.groupBy("batch").agg(F.min(h).alias("a"), F.max(h).alias("b")).orderBy("batch").collect()]  # two numbers a batch
+            done, start = 0, None
+            for number, (a, b) in enumerate(spans):
+                start = a if start is None else start
+                if durable(number, s.non_durable_batches, mode) or number == len(spans) - 1:
+                    part = trees.where(F.col(h).between(start, b))
+                    done += (self.persist_or_link(part, max(0, (last if tip is None else tip) - s.fork_detection_heights))) is not None
+                    start = None
+            return done
+        finally:
+            trees.unpersist()
+
+    def _wait(self, rows: DataFrame) -> None:
+        before, self.waiting = self.waiting, None
+        if rows.take(1):
+            at = f"{self.store.path}/_waiting/{uuid.uuid4().hex}"
+            rows.write.parquet(at)
+            self.waiting = at
+        if before:
+            path = self.store.spark._jvm.org.apache.hadoop.fs.Path(before)
+            self.store.fs.delete(path, True)
+
     def start(self, stream: DataFrame, build: Callable[[DataFrame], DataFrame], checkpoint: str, available_now: bool = False) -> StreamingQuery:
-        """stream: (height, raw) rows in any order within a batch; build makes trees of them. A batch that fails is tried again by Spark from its offsets."""
+        """stream: (height, raw) rows in any order, also across batches; build makes trees of them. A batch that fails is tried again by Spark from its offsets."""
 
         def each(batch: DataFrame, number: int) -> None:
-            tip = batch.agg(F.max("height")).first()[0]
-            if tip is not None:
-                self.persist_or_link(build(batch), max(0, tip - self.settings.fork_detection_heights))
+            if batch.take(1):
+                told = self.arrive(batch, build)
+                log.info("batch %s: %s", number, told)
 
         writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{self.settings.tick_seconds} seconds")
