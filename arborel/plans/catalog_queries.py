@@ -580,6 +580,9 @@ def _(spark, d):
     return W.unsorted(rows, ["o_orderkey"], "_o").select("o_orderkey")
 
 
+from . import system_queries  # noqa: E402, F401 (adds its queries to QUERIES and SQL)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
