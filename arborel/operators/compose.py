@@ -41,14 +41,17 @@ def compose(catalog: Catalog, entity: str, rows: DataFrame | None = None, query:
     if columns is not None:
         out = out.select(*keys, *columns)
     narrow = rows is not None or own is not None
+    references = registry[entity].references
     for relation in registry[entity].relations:
-        out = attach(catalog, out, keys, relation, query, narrow)
+        out = attach(catalog, out, keys, relation, query, narrow, [r for r in references if r.read_from and r.read_from[0] == relation.name])
     for c in registry[entity].columns:
         if c.transient:
             out = out.withColumn(c.name, default(c))
-    for reference in registry[entity].references:
-        out = referenced(catalog, entity, out, keys, reference)
-    return out
+    for r in references:
+        if r.read_from is None:
+            out = out.withColumn(r.name, F.array().cast(T.ArrayType(catalog.frame(r.target).schema)))
+    names = [r.name for r in references]
+    return out.select(*[c for c in out.columns if c not in names], *names) if names else out
 
 
 def default(column):
@@ -60,7 +63,8 @@ def default(column):
     return F.lit(column.default if column.default is not None else zero).cast(kind)
 
 
-def attach(catalog: Catalog, out: DataFrame, keys: list[str], relation: Relation, query: dict | None, narrow: bool) -> DataFrame:
+def attach(catalog: Catalog, out: DataFrame, keys: list[str], relation: Relation, query: dict | None, narrow: bool, references: list[Reference] = ()) -> DataFrame:
+    """out with the relation's children. What references read through their pointers is met on the child rows, and comes in the same grouping."""
     child = catalog.frame(relation.child)
     part = query.get(relation.name) if query is not None else None
     if narrow:
@@ -68,12 +72,18 @@ def attach(catalog: Catalog, out: DataFrame, keys: list[str], relation: Relation
     tree = compose(catalog, relation.child, child, part)
     if relation.kind == "many":
         index = catalog.registry[relation.child].key.index
-        items = nested(tree, [*keys, index])
-        grouped = tree.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index), *items))).alias(relation.name))
-        if query is not None:
-            return out.join(grouped, keys, "inner")
-        joined = out.join(grouped, keys, "left")
-        return joined.withColumn(relation.name, F.coalesce(relation.name, F.array().cast(grouped.schema[relation.name].dataType)))
+        own = [index, *[c for c in tree.columns if c not in (*keys, index)]]
+        for k, reference in enumerate(references):
+            tree = pointed(catalog, tree, reference, f"_to{k}")
+        met = [f"_to{k}" for k in range(len(references))]
+        grouped = tree.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*own, *met))).alias("_items"))
+        made = [F.transform("_items", lambda x: F.struct(*[x[c].alias(c) for c in own])).alias(relation.name) if met else F.col("_items").alias(relation.name)]
+        made += [there(m).alias(r.name) for r, m in zip(references, met)]
+        grouped = grouped.select(*keys, *made)
+        joined = out.join(grouped, keys, "left" if query is None else "inner")
+        for name in [relation.name, *[r.name for r in references]] if query is None else []:
+            joined = joined.withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+        return joined
     packed = tree.select(*keys, F.struct(*nested(tree, keys)).alias(relation.name))
     # a one-to-one child is always there (see missing); an optional one only has to be where it is filtered by
     return out.join(packed, keys, "left" if relation.kind == "optional" and part is None else "inner")
@@ -86,26 +96,18 @@ def missing(catalog: Catalog, entity: str, relation: str) -> DataFrame:
     return catalog.frame(entity).select(*keys).join(catalog.frame(child).select(*keys), keys, "left_anti")
 
 
-def referenced(catalog: Catalog, entity: str, out: DataFrame, keys: list[str], reference: Reference) -> DataFrame:
-    """Looks up each element of a relation by its pointer, in the relation's order; targets that aren't there are skipped."""
-    registry = catalog.registry
-    target = catalog.frame(reference.target)
-    if reference.read_from is None:
-        return out.withColumn(reference.name, F.array().cast(T.ArrayType(target.schema)))
-    relation = next(r for r in registry[entity].relations if r.name == reference.read_from[0])
-    pointer, index = reference.read_from[1], registry[relation.child].key.index
-    # the elements are those of the composed relation, so filters on it hold here too
-    refs = out.select(*keys, F.explode(relation.name).alias("_r")).select(*keys, F.col("_r")[index].alias("_order"), F.col("_r")[pointer].alias("_to"))
-    target_keys = registry.keys(reference.target)
-    tree = compose(catalog, reference.target, target)
-    tree = tree.select([F.col(c).alias(f"_t_{c}") for c in tree.columns])
-    on = refs["_to"] == F.col(f"_t_{target_keys[0]}") if len(target_keys) == 1 else _all(refs["_to"][k] == F.col(f"_t_{k}") for k in target_keys)
-    met = refs.join(tree, on, "inner")
-    item = F.struct(*[F.col(c).alias(c.removeprefix("_t_")) for c in tree.columns])
-    grouped = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_order", item.alias("x")))).alias("_all"))
-    grouped = grouped.select(*keys, F.transform("_all", lambda p: p["x"]).alias(reference.name))
-    joined = out.join(grouped, keys, "left")
-    return joined.withColumn(reference.name, F.coalesce(reference.name, F.array().cast(grouped.schema[reference.name].dataType)))
+def there(field: str):
+    """The field of those items that have it, in their order."""
+    return F.transform(F.filter("_items", lambda x: x[field].isNotNull()), lambda x: x[field])
+
+
+def pointed(catalog: Catalog, rows: DataFrame, reference: Reference, name: str) -> DataFrame:
+    """rows with the tree that their pointer column leads to, null where it isn't there."""
+    pointer, target_keys = reference.read_from[1], catalog.registry.keys(reference.target)
+    tree = compose(catalog, reference.target, catalog.frame(reference.target))
+    tree = tree.select(*[F.col(k).alias(f"_t_{k}") for k in target_keys], F.struct(*tree.columns).alias(name))
+    on = F.col(pointer) == F.col(f"_t_{target_keys[0]}") if len(target_keys) == 1 else _all(F.col(pointer)[k] == F.col(f"_t_{k}") for k in target_keys)
+    return rows.join(tree, on, "left").drop(*[f"_t_{k}" for k in target_keys])
 
 
 def _all(conditions):

@@ -543,7 +543,7 @@ LINKED = Registry.of(Entity("Block", RootKey("height"), (), (Relation("header",
 def linked(spark) -> I.Ingest:
     s = Store(spark, folder(spark), LINKED)
     s.init()
-    return I.Ingest(s, "Block", "Header", I.Settings(fork_detection_heights=10, min_entity_batch_size=50, non_durable_batches=3))
+    return I.Ingest(s, "Block", "Header", I.Settings(fork_detection_heights=10, min_entity_batch_size=1000, non_durable_batches=3))
 
 
 def header_rows(spark, d) -> DataFrame:

@@ -121,6 +121,16 @@ class Store:
         return F.floor(F.col(self.registry.keys(entity)[0]) / self.span).cast("long")
 
     def commit(self, entity: str, trees: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """Publishes a version without the keys of `gone` and with `trees` in the place of theirs."""
+        if trees is None:
+            return self._commit(entity, None, gone)
+        trees = trees.persist()  # every table of the version is made from it
+        try:
+            return self._commit(entity, trees, gone)
+        finally:
+            trees.unpersist()
+
+    def _commit(self, entity: str, trees: DataFrame | None, gone: DataFrame | None) -> int:
         old = self.manifest()
         version = old["version"] + 1
         keys = self.registry.keys(entity)
