@@ -4,6 +4,7 @@ key-ordered ones are sorted. Bulk forms take a DataFrame of keys, so many lookup
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -80,10 +81,14 @@ class Reader:
         return n
 
     def _ends(self, n: int, descending: bool, rows: DataFrame | None = None) -> DataFrame:
-        """Keys first: the limit is taken on key columns alone, and only those rows are composed."""
+        """Keys first: the limit is taken on key columns alone, and only those rows are composed. The keys (MOST at most) become literals, whose
+        bounds on the root reach the scans of the entity and of all below it."""
         rows = self.rows if rows is None else rows
-        picked = rows.select(*self.keys).orderBy(*self.order(descending)).limit(n)
-        return self._tree(rows.join(F.broadcast(picked), self.keys, "left_semi")).orderBy(*self.order())  # n is at most MOST
+        picked = [tuple(r) for r in rows.select(*self.keys).orderBy(*self.order(descending)).limit(n).collect()]
+        wanted = F.col(self.keys[0]).isin(sorted({k[0] for k in picked})) if picked else F.lit(False)
+        if picked and len(self.keys) > 1:
+            wanted = wanted & reduce(lambda a, b: a | b, [K.equals(self.keys, k) for k in picked])
+        return self._tree(rows.where(wanted)).orderBy(*self.order())
 
     def range(self, start, until, query=None) -> DataFrame:
         """Half-open range of keys, in key order."""

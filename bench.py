@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 #: bulk forms of what the published figures measure row by row
-HEADLINES = ["r07_range", "r12_iter_keys", "r13_table_info", "r20_compose", "r23_compose_many", "r24_read_from", "r29_compose_many_keys", "i01_get_by_index", "i06_keys_by_dictionary", "i09_range_by", "i11_parents_by_index", "f11_many", "w01_explode", "w03_upsert", "w05_delete_cascade", "w12_births", "w17_resolve", "s08_weight_batches", "s09_contiguous", "s19_validate_chain", "s28_block_weights", "c04_addresses"]
+HEADLINES = ["r07_range", "r12_iter_keys", "r13_table_info", "r20_compose", "r23_compose_many", "r24_read_from", "r29_compose_many_keys", "i01_get_by_index", "i06_keys_by_dictionary", "i09_range_by", "i11_parents_by_index", "f11_many", "w01_explode", "w03_upsert", "w05_delete_cascade", "w02_store_many", "w06_remove", "w12_births", "w17_resolve", "s08_weight_batches", "s09_contiguous", "s19_validate_chain", "s28_block_weights", "c04_addresses"]
 
 
 def main() -> None:
