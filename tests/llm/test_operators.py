@@ -605,6 +605,21 @@ def test_decontaminate_silent_items(spark):
     assert op10_decontaminate.without_leaks(df, bench).count() == 2
 
 
+def test_decontaminate_names_and_units(spark):
+    ask = "on a calm day, {a} cycles {n} {u} to the mill while, {b} walks {m} {u} along the river and, {a} waits there for a long time"
+    bench = spark.createDataFrame([(1, ask.format(a="Anna", b="Bruno", n=12, m=7, u="km"))], "item_id bigint, text string")
+    docs = [
+        (1, "so: " + ask.format(a="Carla", b="Dario", n=30, m=4, u="miles"), "a"),  # asked anew
+        (2, "so: " + ask.format(a="Carla", b="Dario", n=30, m=4, u="miles").replace("Carla waits", "Elena waits"), "a"),  # one name, two values
+        (3, "so: " + ask.format(a="Carla", b="Carla", n=30, m=4, u="miles"), "a"),  # two names, one value
+        (4, "so: " + ask.format(a="Carla", b="Dario", n=30, m=4, u="miles").replace("4 miles", "4 km"), "a"),  # one unit, two values
+        (5, "so: " + ask.format(a="Anna", b="Bruno", n=12, m=7, u="km"), "a"),
+        (6, "on a calm day nothing of that kind was asked by Anna or Bruno, 12 km away", "a"),
+    ]
+    df = frame(spark, docs)
+    assert sorted(r.doc_id for r in op10_decontaminate.without_leaks(df, bench).collect()) == [2, 3, 4, 6]
+
+
 # plain versions of parts
 
 
