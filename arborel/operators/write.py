@@ -41,10 +41,13 @@ def level(registry: Registry, entity: str, trees: DataFrame, wanted: str) -> Dat
 
 def births(values: DataFrame, column: str, keys: list[str], known: DataFrame | None = None) -> DataFrame:
     """(column, birth): the dictionary. A known value keeps its birth for ever; a new one is born with the smallest key that holds it."""
+    return born(values, column, keys) if known is None else known.unionByName(born(values, column, keys, known))
+
+
+def born(values: DataFrame, column: str, keys: list[str], known: DataFrame | None = None) -> DataFrame:
+    """(column, birth) of the values that aren't known yet."""
     new = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*keys)).alias("birth"))
-    if known is None:
-        return new
-    return known.unionByName(new.join(known.select(column), column, "left_anti"))
+    return new if known is None else new.join(known.select(column), column, "left_anti")
 
 
 def encoded(rows: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """A versioned store of entity tables on any file system Spark writes to. One manifest names the files of a version, and is published by
 one rename after all tables are written: readers see a whole version or the one before.
 
-Rows are cut into buckets by root key ranges of SPAN; a commit rewrites only the buckets that it touches, and a read by key opens only the
-key's bucket. Within a file rows are sorted by key; index and dictionary columns get Parquet bloom filters."""
+Rows are cut into buckets by root key ranges of SPAN, and a bucket into pieces. A commit that only adds keys writes a piece of its own rows, and
+one of new dictionary values; FAN pieces of one level become one of the next, so a row is written again a logarithmic number of times. A
+bucket is rewritten only where keys are replaced or deleted. A read by key opens only the key's bucket. Within a file rows are sorted by
+key; index and dictionary columns get Parquet bloom filters."""
 
 from __future__ import annotations
 
@@ -16,6 +18,16 @@ from ..operators.compose import Catalog
 from ..schema import Registry
 
 SPAN = 100_000
+#: pieces of one level that are merged into one of the next
+FAN = 16
+
+
+def merged(levels: list[int]) -> tuple[int, int]:
+    """How many of the last pieces, whose levels never rise, a new piece is merged with, and the level of what comes of it."""
+    n, level = 0, 0
+    while (same := levels.count(level)) >= FAN - 1:
+        n, level = n + same, level + 1
+    return n, level
 
 
 class Conflict(RuntimeError):
@@ -59,9 +71,11 @@ class Store:
 
     def table(self, entity: str, manifest: dict | None = None, buckets: set[int] | None = None) -> DataFrame:
         manifest = manifest or self.manifest()
-        files = [p for b, p in manifest["tables"].get(entity, {}).items() if buckets is None or int(b) in buckets]
+        return self._pieces(entity, [p for b, x in manifest["tables"].get(entity, {}).items() if buckets is None or int(b) in buckets for p, _ in x])
+
+    def _pieces(self, entity: str, paths: list[str]) -> DataFrame:
         schema = self.registry.struct(entity)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in files]) if files else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
     def catalog(self, version: int | None = None, roots: tuple[int, int] | None = None) -> Catalog:
         """All tables of one version; roots: a half-open range of root keys, to open only its buckets."""
@@ -71,7 +85,7 @@ class Store:
 
     def dictionary(self, entity: str, column: str, manifest: dict | None = None) -> DataFrame | None:
         at = (manifest or self.manifest())["dictionaries"].get(f"{entity}.{column}")
-        return self.spark.read.parquet(f"{self.path}/{at}") if at else None
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p, _ in at]) if at else None
 
     # commits
 
@@ -107,7 +121,7 @@ class Store:
         """Deletes files that none of the last `keep` versions name. Not while another commit is under way."""
         latest = self.version()
         kept = [self.manifest(v) for v in range(max(1, latest - keep + 1), latest + 1)]
-        named = {p.split("/_bucket=")[0] for m in kept for x in m["tables"].values() for p in x.values()} | {p for m in kept for p in m["dictionaries"].values()}
+        named = {p.split("/_bucket=")[0] for m in kept for x in m["tables"].values() for b in x.values() for p, _ in b} | {p for m in kept for x in m["dictionaries"].values() for p, _ in x}
         for top in self.fs.listStatus(self.root):
             name = top.getPath().getName()
             if not name.startswith("_"):
@@ -146,22 +160,54 @@ class Store:
                     made = W.hooked(self.registry, name, rows, known)
                     child = next(r.child for r in self.registry[name].relations if r.name == hook.relation)
                     new[child] = made if child not in new else new[child].unionByName(made)
-        touched = {r[0] for r in lost.select(self._bucket(entity)).distinct().collect()}  # bucket numbers, not keys
+        spans = lost.groupBy(self._bucket(entity).alias("b")).agg(F.min(keys[0]), F.max(keys[0])).collect()  # bucket numbers, not keys
+        touched = {r[0] for r in spans}
+        hits = self._hits(entity, lost, old, touched, [r[1] for r in spans], [r[2] for r in spans])
         tables = {e: dict(x) for e, x in old["tables"].items()}
         dictionaries = dict(old["dictionaries"])
         for name in self.registry.write_order(entity):
-            now = self.table(name, old, touched).join(lost, keys, "left_anti")
-            if name in new:
-                now = now.unionByName(new[name].select(*now.columns))
-            tables[name] = {b: p for b, p in tables.get(name, {}).items() if int(b) not in touched} | self._write(name, now, version)
+            tables[name] = self._table_of(name, tables.get(name, {}), new.get(name), lost, keys, touched, hits.get(name, set()), version)
         manifest = {"version": version, "tables": tables, "dictionaries": dictionaries}
         for name in self.registry.descendants(entity):
             for c in self.registry.stored(name):
                 if c.access == "dictionary":
-                    dictionaries[f"{name}.{c.name}"] = self._births(name, c.name, new.get(name), manifest, version, gone is not None or trees is not None and old["version"] > 1)
+                    dictionaries[f"{name}.{c.name}"] = self._births(name, c.name, new.get(name), manifest, version, bool(hits.get(name)))
         self._publish(manifest)
         return version
 
+    def _hits(self, entity: str, lost: DataFrame, old: dict, touched: set[int], least: list, most: list) -> dict[str, set[int]]:
+        """For each entity the buckets that hold rows of the lost keys. Reads keys alone, within the touched buckets and the range of the lost ones."""
+        keys = self.registry.keys(entity)
+        held = [n for n in self.registry.descendants(entity) if any(int(b) in touched for b in old["tables"].get(n, {}))]
+        if not held:
+            return {}
+        inside = F.col(keys[0]).between(min(least), max(most))
+        found = [self.table(n, old, touched).where(inside).select(*keys, F.lit(n).alias("_name")) for n in held]
+        for x in found[1:]:
+            found[0] = found[0].union(x)
+        met = found[0].join(lost, keys, "left_semi").select("_name", self._bucket(entity).alias("b")).distinct().collect()
+        return {n: {r.b for r in met if r._name == n} for n in held}
+
+    def _table_of(self, name: str, now: dict, new: DataFrame | None, lost: DataFrame, keys: list[str], touched: set[int], hit: set[int], version: int) -> dict:
+        """The buckets of an entity after a commit, as lists of (path, level). Those of `hit` are rewritten without the lost keys; to the others the new rows
+        are added, merged with as many of the last pieces as are due."""
+        after, old, levels = dict(now), [], {}
+        for b in (str(b) for b in touched):
+            pieces = now.get(b, [])
+            n, level = (len(pieces), pieces[0][1]) if int(b) in hit else merged([x for _, x in pieces]) if new is not None else (0, 0)
+            old += [p for p, _ in pieces[len(pieces) - n :]]
+            after[b], levels[b] = pieces[: len(pieces) - n], level
+        if new is None and not old:
+            return dict(now)
+        rows = self._pieces(name, old)
+        if hit:
+            rows = rows.join(lost, keys, "left_anti")
+        if new is not None:
+            rows = rows.unionByName(new.select(*rows.columns))
+        for b, at in self._write(name, rows, version).items():
+            after[b] = [*after.get(b, []), (at, levels.get(b, 0))]
+        return {b: x for b, x in after.items() if x}
+
     def _write(self, name: str, rows: DataFrame, version: int) -> dict[str, str]:
         at = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
         writer = W.sorted_for_write(rows.withColumn("_bucket", self._bucket(name)), ["_bucket", *self.registry.keys(name)]).write
@@ -172,14 +218,24 @@ class Store:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._at(at))]
         return {n.removeprefix("_bucket="): f"{at}/{n}" for n in names if n.startswith("_bucket=")}
 
-    def _births(self, name: str, column: str, rows: DataFrame | None, manifest: dict, version: int, clean: bool) -> str:
-        known = self.dictionary(name, column, {"dictionaries": manifest["dictionaries"]})
+    def _births(self, name: str, column: str, rows: DataFrame | None, manifest: dict, version: int, clean: bool) -> list:
+        """The pieces of a dictionary after a commit: new values are added as a piece; where rows went, it is written anew without the values nobody holds."""
+        pieces = manifest["dictionaries"].get(f"{name}.{column}", [])
+        known = self.dictionary(name, column, manifest)
         keys = self.registry.keys(name)
-        found = known if rows is None else W.births(rows, column, keys, known)
-        if found is None:
-            found = W.births(self.table(name, manifest), column, keys)
-        if clean:
-            found = W.collected(found, column, self.table(name, manifest))
+        if known is None:
+            found, kept, level = W.births(self.table(name, manifest), column, keys), [], 0
+        elif clean:
+            found = W.collected(known if rows is None else W.births(rows, column, keys, known), column, self.table(name, manifest))
+            kept, level = [], pieces[0][1]
+        elif rows is None:
+            return pieces
+        else:
+            found = W.born(rows, column, keys, known)
+            n, level = merged([x for _, x in pieces])
+            kept = pieces[: len(pieces) - n]
+            if n:
+                found = self.spark.read.parquet(*[f"{self.path}/{p}" for p, _ in pieces[len(pieces) - n :]]).unionByName(found)
         at = f"{name}.{column}/v{version}-{uuid.uuid4().hex[:8]}"
         found.write.parquet(f"{self.path}/{at}")
-        return at
+        return [*kept, (at, level)]

@@ -9,6 +9,7 @@ from arborel.operators import chain, write as W
 from arborel.operators.compose import compose
 from arborel.plans import overlay
 from arborel.schema import Column, Entity, PointerKey, Registry, Relation, RootKey
+from arborel.sources import store
 from arborel.sources.blocks import BlockSource, demo_chain, processed, raw_blocks, retried
 from arborel.sources.store import Store
 from arborel.streaming import ingest as I
@@ -129,6 +130,38 @@ def test_store(spark, tmp_path):
     assert s.table("Tx").count() == 0 and s.dictionary("Tx", "address") is None
 
 
+def test_a_commit_writes_what_it_adds(spark, tmp_path, monkeypatch):
+    with monkeypatch.context() as few:
+        few.setattr(store, "FAN", 3)
+        found = [store.merged(x) for x in ([], [0], [0, 0], [1, 0, 0], [1, 1, 0, 0], [2, 0])]
+    assert found == [(0, 0), (0, 0), (2, 1), (2, 1), (4, 2), (0, 0)]
+    s = Store(spark, f"file://{tmp_path}/s", REG, span=1000)
+    s.init()
+    written = lambda: sum(f.stat().st_size for f in (tmp_path / "s").rglob("*.parquet"))
+    grown = []
+    s.persist("Block", trees(spark, [tree(h, "a", *(f"v{h}.{i}" for i in range(40))) for h in range(1, 60)]))
+    for h in (60, 61):
+        was = written()
+        s.persist("Block", trees(spark, [tree(h, "a", f"x{h}")]))
+        grown.append(written() - was)
+    assert grown[1] < grown[0] * 1.2 and grown[1] < was / 2  # a block costs its own rows, however many are there
+    assert [x for _, x in s.manifest()["tables"]["Tx"]["0"]] == [0, 0, 0]
+    monkeypatch.setattr(store, "FAN", 3)
+    s.persist("Block", trees(spark, [tree(62, "a", "x62")]))
+    assert [x for _, x in s.manifest()["tables"]["Tx"]["0"]] == [1]
+    assert s.table("Block").count() == 62 and s.table("Tx").count() == 59 * 41 + 6
+    values = {r.address: tuple(r.birth) for r in s.dictionary("Tx", "address").collect()}
+    assert s.dictionary("Tx", "address").count() == len(values) == 59 * 40 + 4 and values["a"] == (1, 0) and values["x62"] == (62, 1)
+    # keys in several pieces are replaced and deleted, with what hangs below them
+    s.replace("Block", trees(spark, [tree(61, "new")]), spark.createDataFrame([(1,), (60,)], "height bigint"))
+    assert s.table("Block").count() == 60 and [r.address for r in s.table("Tx").where("height >= 60").orderBy("height", "tx_index").collect()] == ["new", "a", "x62"]
+    left = {r.address for r in s.dictionary("Tx", "address").collect()}
+    assert {"a", "new", "x62"} <= left and not {"x60", "x61", "v1.0"} & left
+    assert len(s.manifest()["tables"]["Tx"]["0"]) == 1
+    s.vacuum()
+    assert compose(s.catalog(), "Block").count() == 60
+
+
 def test_ingest_links_and_replaces(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s", REG, span=100)
     s.init()
