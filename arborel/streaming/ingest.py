@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -43,35 +44,63 @@ class ReorderBuffer:
         return {"from": self.next, "to": max(self.pending), "pending": len(self.pending), "saturated": self.hint is not None and len(self.pending) >= self.hint}
 
 
+#: Heights of a block of the reorder state, a bit each; blocks that are held in memory at once; heights of a frame that is let go.
+BLOCK, HELD, FRAME = 1 << 16, 1024, 1 << 20
+
+
 class Reorder(StatefulProcessor):
-    """ReorderBuffer as state of a chain: the next height, and the heights that wait. Only heights go through it; payloads are joined later."""
+    """ReorderBuffer as state of a chain: the next height, and the heights that wait, as bits of blocks of BLOCK heights, so a call of the state serves many
+    heights. Only heights go through it; payloads are joined later."""
 
     def __init__(self, start: int):
         self.start = start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "next bigint")
-        self.waiting = handle.getMapState("waiting", "height bigint", "seen bigint")
+        self.waiting = handle.getMapState("blocks", "block bigint", "bits binary")
         self.dropped = handle.getValueState("dropped", "n bigint")
 
+    def _block(self, held: dict[int, np.ndarray], block: int) -> np.ndarray:
+        """A block's bits, one byte each; those that were taken before are written back when there are too many."""
+        if block not in held:
+            if len(held) >= HELD:
+                self._flush(held)
+            bits = self.waiting.getValue((block,))[0] if self.waiting.containsKey((block,)) else None
+            held[block] = np.zeros(BLOCK, bool) if bits is None else np.unpackbits(np.frombuffer(bytes(bits), np.uint8)).astype(bool)
+        return held[block]
+
+    def _flush(self, held: dict[int, np.ndarray]) -> None:
+        for block, bits in held.items():
+            if bits.any():
+                self.waiting.updateValue((block,), (np.packbits(bits).tobytes(),))
+            elif self.waiting.containsKey((block,)):
+                self.waiting.removeKey((block,))
+        held.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.next.get()[0] if self.next.exists() else self.start
         low = self.dropped.get()[0] if self.dropped.exists() else 0
+        held: dict[int, np.ndarray] = {}
         for frame in rows:
-            for h in frame["height"].tolist():
-                if h < at:
-                    low += 1
-                elif not self.waiting.containsKey((h,)):
-                    self.waiting.updateValue((h,), (1,))
-        out = []
-        while self.waiting.containsKey((at,)):
-            self.waiting.removeKey((at,))
-            out.append(at)
-            at += 1
+            heights = frame["height"].to_numpy(np.int64)
+            low += int((heights < at).sum())
+            heights = np.sort(heights[heights >= at])
+            block = heights // BLOCK
+            edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(heights) else []
+            for a, b in zip(edges, [*edges[1:], len(heights)]):
+                self._block(held, int(block[a]))[heights[a:b] % BLOCK] = True
+        first = at
+        while (bits := self._block(held, at // BLOCK))[at % BLOCK]:
+            missing = np.flatnonzero(~bits[at % BLOCK :])
+            until = at + int(missing[0]) if len(missing) else (at // BLOCK + 1) * BLOCK
+            bits[at % BLOCK : at % BLOCK + until - at] = False
+            at = until
+        self._flush(held)
         self.next.update((at,))
         self.dropped.update((low,))
-        if out:
-            yield pd.DataFrame({"chain": pd.Series([key[0]] * len(out), dtype=object), "height": pd.Series(out, dtype="int64")})
+        for a in range(first, at, FRAME):
+            out = np.arange(a, min(a + FRAME, at), dtype=np.int64)
+            yield pd.DataFrame({"chain": pd.Series([key[0]] * len(out), dtype=object), "height": out})
 
     def close(self) -> None:
         pass

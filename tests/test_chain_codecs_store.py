@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,45 @@ def test_reorder_state(spark, tmp_path):
     assert sorted(r.height for r in spark.table("reordered").collect()) == [10, 11, 12]
 
 
+def test_reorder_state_holds_many_heights_a_call():
+    """Waiting heights are kept as bits, so the calls of the state grow with blocks of heights and not with heights."""
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Map(dict):
+        calls = 0
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        getValue = dict.__getitem__
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    class Handle:
+        getValueState = lambda self, *a: Value()
+        getMapState = lambda self, *a: Map()
+
+    p, b, rng = I.Reorder(10), I.ReorderBuffer(10), random.Random(3)
+    p.init(Handle())
+    every = [h for h in range(5, 200_000) if h != 150_000] * 2 + [900_000, -70_000]
+    rng.shuffle(every)
+    for part in (every[:150_000], every[150_000:], [150_000]):
+        frames = iter([pd.DataFrame({"height": part[a : a + 10_000]}) for a in range(0, len(part), 10_000)])
+        got = [h for f in p.handleInputRows(("c",), frames, None) for h in f["height"].tolist()]
+        assert got == [h for x in part for h, _ in b.push(x)]
+    assert p.next.get()[0] == b.next == 200_000 and p.waiting.calls < 100 and sorted(p.waiting) == [(900_000 // I.BLOCK,)]
+
+
 def test_raw_blocks_and_retry(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"height": 1, "hash": "a"}\nbroken\n{"height": 2, "hash": "b"}\n')
     raw = raw_blocks(spark, str(tmp_path / "b.json"))
