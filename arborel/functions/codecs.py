@@ -36,8 +36,10 @@ def from_utf8(s: Column) -> Column:
 
 
 def timestamp_text(seconds: Column) -> Column:
-    """Seconds since 1970 in UTC."""
-    return F.date_format(F.to_timestamp_ntz(F.timestamp_seconds(seconds).cast("string")), "yyyy-MM-dd HH:mm:ss")
+    """Seconds since 1970 in UTC, whatever the session's time zone. Years of five digits have no sign before them."""
+    rest = F.pmod(seconds, F.lit(86400))
+    at = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(((seconds - rest) / 86400).cast("int"), F.lit(0), F.lit(0), rest)
+    return F.regexp_replace(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), r"^\+", "")
 
 
 def short_hash(b: Column) -> Column:

@@ -249,6 +249,18 @@ def test_reorder_state_holds_many_heights_a_call():
     assert p.next.get()[0] == b.next == 200_000 and p.waiting.calls < 100 and sorted(p.waiting) == [(900_000 // I.BLOCK,)]
 
 
+def test_timestamp_text(spark):
+    rows = [(0, "1970-01-01 00:00:00"), (-1, "1969-12-31 23:59:59"), (253402300800, "10000-01-01 00:00:00"), (518_766_000_000, "18409-01-15 02:40:00"), (-62_000_000_000, "0005-04-19 09:46:40")]
+    got = lambda: [tuple(r) for r in spark.createDataFrame(rows, "s bigint, want string").select("s", C.timestamp_text(F.col("s")).alias("text")).collect()]
+    assert got() == rows
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert got() == rows
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_raw_blocks_and_retry(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"height": 1, "hash": "a"}\nbroken\n{"height": 2, "hash": "b"}\n')
     raw = raw_blocks(spark, str(tmp_path / "b.json"))
