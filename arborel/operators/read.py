@@ -182,6 +182,20 @@ class Reader:
         return rows.groupBy(column).agg(pick(F.struct(*self.keys)).alias("key")).select(column, "key.*")
 
 
-def lines(df: DataFrame) -> Iterator[str]:
+class Lines(Iterator[str]):
+    """Rows as JSON, an object a line: iterated on the driver partition by partition, or taken as `frame` (one column, line), whose lines stay
+    on the executors."""
+
+    def __init__(self, df: DataFrame):
+        self.frame = df.select(F.to_json(F.struct(*df.columns)).alias("line"))
+        self._rows: Iterator | None = None
+
+    def __next__(self) -> str:
+        if self._rows is None:
+            self._rows = self.frame.toLocalIterator()
+        return next(self._rows)[0]
+
+
+def lines(df: DataFrame) -> Lines:
     """Rows as JSON, an object a line."""
-    return (r[0] for r in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator())
+    return Lines(df)

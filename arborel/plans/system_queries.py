@@ -12,7 +12,7 @@ from ..api import Api
 from ..functions import codecs, filters, keys as K, samples
 from ..operators import chain, stats, write as W
 from ..operators.compose import compose
-from ..operators.read import Reader
+from ..operators.read import Lines, Reader
 from ..schema import Column, Entity, Hook, PointerKey, Registry, Relation, RootKey
 from ..sources import chains
 from ..sources.blocks import BlockSource, demo_chain, processed, raw_blocks, retried
@@ -26,8 +26,9 @@ TURNS = "(conv_id > 3 OR (conv_id = 3 AND turn >= 1)) AND (conv_id < 20 OR (conv
 
 
 def of_lines(spark, lines, schema: str) -> DataFrame:
-    """What an iterator of JSON lines holds."""
-    return spark.createDataFrame([(x,) for x in lines], "x string").select(F.from_json("x", schema).alias("x")).select("x.*")
+    """What an iterator of JSON lines holds. Those of a table are read where they are; no line of them passes through the driver."""
+    frame = lines.frame if isinstance(lines, Lines) else spark.createDataFrame([(x,) for x in lines], "line string")
+    return frame.select(F.from_json("line", schema).alias("x")).select("x.*")
 
 
 def values(rows: list[tuple], names: str) -> str:

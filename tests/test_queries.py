@@ -77,3 +77,20 @@ def test_api(spark, sf_dir):
     assert status == 200 and json.loads(next(out))["o_orderstatus"] == "O"
     assert len(list(api.handle("GET", "/order/7/line_items")[1])) >= 0
     assert api.handle("POST", "/order", "{}")[0] == 400
+
+
+def test_lines_stay_on_executors_where_rows_go_on(spark, sf_dir, monkeypatch):
+    from arborel.operators.read import Lines, Reader
+    from arborel.plans import overlay, system_queries as S
+
+    r = Reader(overlay.catalog(spark, sf_dir), "Order")
+    stream = r.stream_by("o_orderstatus", "P", {"o_custkey": {"Lt": 100}})
+    assert sorted(stream) == sorted(x[0] for x in stream.frame.collect()) and next(stream, None) is None
+    assert sorted(x.o_orderkey for x in S.of_lines(spark, iter(r.stream_keys_by("o_orderstatus", "P")), "o_orderkey bigint").collect()) == sorted(x.o_orderkey for x in Q.QUERIES["route_keys_by"](spark, sf_dir).collect())
+
+    def driver(self):
+        raise AssertionError("a line on the driver")
+
+    monkeypatch.setattr(Lines, "__next__", driver)
+    for name in ("i03_stream_lines", "i12_stream_lines", "r30_stream_lines", "route_parents_by"):
+        assert Q.QUERIES[name](spark, sf_dir).count()
