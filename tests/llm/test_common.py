@@ -19,6 +19,17 @@ def test_maybe_in_keeps_all_wanted(spark):
     assert common.maybe_in(rows, "k", wanted.limit(0)).count() == 0
 
 
+def test_stored_clears_a_grown_driver(spark, monkeypatch):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    spark._jvm.java.lang.System.gc()
+    least = used()
+    spark.sparkContext._gateway.new_array(spark._jvm.long, 30_000_000)
+    monkeypatch.setattr(common, "HEAP", 0.0)
+    assert used() > least + 200 and common.stored(spark.range(5)).count() == 5
+    assert used() < least + 150
+
+
 def test_components_with_a_hub(spark):
     links = spark.createDataFrame([(5, i) for i in range(6, 60)] + [(100, 101), (101, 102), (103, 102), (59, 100)], "a bigint, b bigint")
     assert {r.comp for r in common.components(links).collect()} == {5}
