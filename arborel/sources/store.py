@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import write as W
@@ -98,6 +100,48 @@ class Store:
         """Upserts whole trees; returns the new version."""
         return self.commit(entity, trees=trees)
 
+    def persist_spans(self, entity: str, trees: DataFrame, spans: list[tuple[int, int]]) -> int:
+        """Stores the trees of each span (first and last root key; rising, apart, over all trees) as a version of its own, in turn; returns the number of versions. Where all
+        of them only add keys and no hook or dictionary asks for the versions before, one job a table writes the rows of all spans, each to pieces of its
+        own, and the manifests are published one after the other. The next commit to a bucket merges its pieces."""
+        if not spans:
+            return 0
+        names = self.registry.write_order(entity)
+        root = self.registry.keys(entity)[0]
+        old = self.manifest()
+        some = trees.where(F.col(root).between(spans[0][0], spans[-1][1]))
+        plain = len(spans) > 1 and not any(self.registry[n].hook or any(c.access == "dictionary" for c in self.registry.stored(n)) for n in names)
+        touched = set(range(spans[0][0] // self.span, spans[-1][1] // self.span + 1))
+        if not plain or any(self._hits(entity, some.select(*self.registry.keys(entity)), old, touched, [spans[0][0]], [spans[-1][1]]).values()):
+            for a, b in spans:
+                self.persist(entity, trees.where(F.col(root).between(a, b)))
+            return len(spans)
+        starts = [a for a, _ in spans]
+
+        @F.pandas_udf("int")
+        def span_of(keys: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(starts, keys, "right") - 1)
+
+        some = some.persist()
+        try:
+            paths = {}
+            for name, rows in W.explode_trees(self.registry, entity, some).items():
+                at = f"{name}/v{old['version'] + 1}-{uuid.uuid4().hex[:8]}"
+                self._put(name, rows.withColumn("_span", span_of(root)), at, ["_span", "_bucket"])
+                for s in self.fs.listStatus(self._at(at)):
+                    if (top := s.getPath().getName()).startswith("_span="):
+                        for x in self.fs.listStatus(s.getPath()):
+                            bucket = x.getPath().getName()
+                            paths.setdefault(int(top.removeprefix("_span=")), []).append((name, bucket.removeprefix("_bucket="), f"{at}/{top}/{bucket}"))
+        finally:
+            some.unpersist()
+        tables = {e: dict(x) for e, x in old["tables"].items()}
+        for n in range(len(spans)):
+            for name, bucket, path in paths.get(n, []):
+                tables.setdefault(name, {})[bucket] = [*tables.get(name, {}).get(bucket, []), (path, 0)]
+            self._publish({"version": old["version"] + 1 + n, "tables": tables, "dictionaries": old["dictionaries"]})
+        return len(spans)
+
     def remove(self, entity: str, wanted: DataFrame) -> bool:
         """Deletes keys and all below them; whether all were there is known before the commit."""
         found = W.deletes_all(self.table(entity), wanted, self.registry.keys(entity))
@@ -121,7 +165,7 @@ class Store:
         """Deletes files that none of the last `keep` versions name. Not while another commit is under way."""
         latest = self.version()
         kept = [self.manifest(v) for v in range(max(1, latest - keep + 1), latest + 1)]
-        named = {p.split("/_bucket=")[0] for m in kept for x in m["tables"].values() for b in x.values() for p, _ in b} | {p for m in kept for x in m["dictionaries"].values() for p, _ in x}
+        named = {"/".join(p.split("/")[:2]) for m in kept for x in m["tables"].values() for b in x.values() for p, _ in b} | {p for m in kept for x in m["dictionaries"].values() for p, _ in x}
         for top in self.fs.listStatus(self.root):
             name = top.getPath().getName()
             if not name.startswith("_"):
@@ -210,13 +254,17 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame, version: int) -> dict[str, str]:
         at = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
-        writer = W.sorted_for_write(rows.withColumn("_bucket", self._bucket(name)), ["_bucket", *self.registry.keys(name)]).write
+        self._put(name, rows, at, ["_bucket"])
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(at))]
+        return {n.removeprefix("_bucket="): f"{at}/{n}" for n in names if n.startswith("_bucket=")}
+
+    def _put(self, name: str, rows: DataFrame, at: str, parts: list[str]) -> None:
+        """Writes rows below `at`, sorted by key, in folders of `parts`."""
+        writer = W.sorted_for_write(rows.withColumn("_bucket", self._bucket(name)), [*parts, *self.registry.keys(name)]).write
         for c in self.registry.stored(name):
             if c.access in ("index", "dictionary"):
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c.name}", "true")
-        writer.partitionBy("_bucket").parquet(f"{self.path}/{at}")
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(at))]
-        return {n.removeprefix("_bucket="): f"{at}/{n}" for n in names if n.startswith("_bucket=")}
+        writer.partitionBy(*parts).parquet(f"{self.path}/{at}")
 
     def _births(self, name: str, column: str, rows: DataFrame | None, manifest: dict, version: int, clean: bool) -> list:
         """The pieces of a dictionary after a commit: new values are added as a piece; where rows went, it is written anew without the values nobody holds."""

@@ -238,13 +238,18 @@ class Ingest:
             slim = trees.select(F.lit("chain").alias("chain"), h, weight.cast("long").alias("weight"))
             batches = chain.weight_batches(slim, ["chain"], h, "weight", s.min_entity_batch_size, s.max_items)
             spans = [(r["a"], r["b"]) for r in batches.groupBy("batch").agg(F.min(h).alias("a"), F.max(h).alias("b")).orderBy("batch").collect()]  # two numbers a batch
-            done, start = 0, None
+            parts, start = [], None
             for number, (a, b) in enumerate(spans):
                 start = a if start is None else start
                 if durable(number, s.non_durable_batches, mode) or number == len(spans) - 1:
-                    part = trees.where(F.col(h).between(start, b))
-                    done += (self.persist_or_link(part, max(0, (last if tip is None else tip) - s.fork_detection_heights))) is not None
+                    parts.append((start, b))
                     start = None
+            fork = max(0, (last if tip is None else tip) - s.fork_detection_heights)
+            # what lies wholly at or below the fork height is only added: its versions are written together and published in turn
+            deep = [x for x in parts if x[1] <= fork]
+            done = self.store.persist_spans(self.root, trees, deep)
+            for a, b in parts[len(deep) :]:
+                done += self.persist_or_link(trees.where(F.col(h).between(a, b)), fork) is not None
             return done
         finally:
             trees.unpersist()

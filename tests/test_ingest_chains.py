@@ -89,3 +89,23 @@ def test_upsert_is_repeatable_and_order_is_checked_across_partitions(spark):
     assert sorted(map(tuple, W.upsert(table, rows, ["k"]).collect())) == [(1, "a"), (2, "y"), (3, "z")]
     numbered = spark.createDataFrame([(k,) for k in (1, 2, 5, 4, 6, 7)], "k int").coalesce(1).union(spark.createDataFrame([(3,), (8,)], "k int").coalesce(1)).withColumn("_o", F.monotonically_increasing_id())
     assert sorted(r.k for r in W.unsorted(numbered, ["k"], "_o").collect()) == [3, 4]
+
+
+def test_a_run_of_batches_is_written_by_one_job_a_table(spark, tmp_path, monkeypatch):
+    from arborel.plans import system_queries as S
+
+    s = Store(spark, f"file://{tmp_path}/s", S.LINKED, span=40)
+    s.init()
+    g = I.Ingest(s, "Block", "Header", I.Settings(fork_detection_heights=10, min_entity_batch_size=5, non_durable_batches=3))
+    rows = spark.range(1, 201).select(F.col("id").alias("height"), F.to_json(F.struct(F.col("id").alias("height"), F.concat(F.lit("h"), "id").alias("hash"), F.concat(F.lit("h"), F.col("id") - 1).alias("prev_hash"))).alias("raw"))
+    commits, commit = [], Store._commit
+    monkeypatch.setattr(Store, "_commit", lambda self, *a: commits.append(a) or commit(self, *a))
+    told = g.arrive(rows, S.header_trees)
+    assert (told["versions"], told["tip"], told["waiting"], s.version()) == (14, 200, 0, 15) and len(commits) == 2
+    # each version holds what was there before and its own span
+    assert [s.table("Header", s.manifest(v)).agg(F.max("height"), F.count("*")).first()[:] for v in (2, 3, 9)] == [(15, 15), (30, 30), (120, 120)]
+    assert s.table("Block").count() == s.table("Header").select("hash").distinct().count() == 200
+    s.vacuum()
+    assert s.table("Header").count() == 200
+    # keys that are there go the other way
+    assert s.persist_spans("Block", S.header_trees(rows.where("height <= 20")), [(1, 10), (11, 20)]) == 2 and s.table("Block").count() == 200
