@@ -28,8 +28,8 @@ from .neardup import BLOCK, grouped, mix, placed, search_clusters
 
 SHINGLE, FINE, THRESHOLD, BUCKET_BITS, MANTISSA = 9, 5, 0.8, 8, 10
 ROWS, BANDS = 6, 24
-#: Characters whose shingles are hashed at once, and lines that are sketched at once.
-CHUNK, LINES = 1 << 18, 1024
+#: Characters whose shingles are hashed at once (few, so that their hashes stay in a core's cache), characters and lines that are sketched or searched at once.
+PIECE, CHUNK, LINES = 1 << 15, 1 << 18, 1024
 #: Band keys that a worker gathers before it sends them; lines of a key that it sends of them to the key's own task; keys that a task compares.
 PACK, MOST, COUNTED = 1 << 20, 16, 1 << 20
 #: Lines that a worker remembers, so as to sketch equal ones once.
@@ -44,16 +44,22 @@ def codes(text: str) -> np.ndarray:
 
 
 def rolled(chars: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows of `width` characters."""
-    out = np.zeros(len(chars) - width + 1, np.uint64)
-    for k in range(width):
-        out = out * PRIME + chars[k : len(chars) - width + 1 + k]
+    """Hashes of all windows of `width` characters: polynomials in PRIME, from those of half the width."""
+    out, span = chars, 1
+    for bit in f"{width:b}"[1:]:
+        out = out[:-span] * np.uint64(pow(int(PRIME), span, 1 << 64)) + out[span:]
+        span *= 2
+        if bit == "1":
+            out = out[:-1] * PRIME + chars[span:]
+            span += 1
     return mix(out)
 
 
 def distinct(hashes: np.ndarray) -> np.ndarray:
     out = np.sort(hashes)
-    return out[np.r_[True, out[1:] != out[:-1]]]
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 def char_set(line: bytes | str, shingle: int = SHINGLE) -> np.ndarray:
@@ -67,7 +73,7 @@ def char_sets(lines: list[str], shingle: int) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(lines):
         end, total = at, 0
-        while end < len(lines) and (end == at or total + len(lines[end]) <= CHUNK):
+        while end < len(lines) and (end == at or total + len(lines[end]) <= PIECE):
             total += len(lines[end])
             end += 1
         hashes = rolled(codes("".join(lines[at:end])), shingle) if total >= shingle else None
@@ -86,22 +92,25 @@ def sketch(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
     at = 0
     while at < len(lines):
         end, total = at, 0
-        while end < len(lines) and (end == at or total + len(lines[end]) <= CHUNK):
+        while end < len(lines) and (end == at or total + len(lines[end]) <= PIECE):
             total += len(lines[end])
             end += 1
         part = lines[at:end]
         lengths = np.array([len(x) for x in part])
-        starts = np.cumsum(lengths) - lengths
+        ends = np.cumsum(lengths)
         chars = codes("".join(part))
-        for width in sorted({min(shingle, n) for n in lengths.tolist()}):
-            some = np.flatnonzero(np.minimum(lengths, shingle) == width)
-            hashes = rolled(chars, width)
-            counts = lengths[some] - width + 1
-            owner = np.repeat(some, counts)
-            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[some], counts)
-            h = hashes[place]
-            bucket = ((at + owner) << BUCKET_BITS) + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            np.minimum.at(least, bucket, h << np.uint64(BUCKET_BITS))
+        if total >= shingle:
+            hashes = rolled(chars, shingle)
+            rest = hashes << np.uint64(BUCKET_BITS)
+            over = (ends[:, None] - np.arange(1, shingle)).ravel()  # windows that run into the next line
+            rest[over[(over >= 0) & (over < len(rest))]] = ~np.uint64(0)
+            bucket = np.repeat(np.arange(at, end) << BUCKET_BITS, lengths)[: len(hashes)]
+            bucket += (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            np.minimum.at(least, bucket, rest)
+        for width in sorted({n for n in lengths.tolist() if n < shingle}):
+            some = np.flatnonzero(lengths == width)
+            h = rolled(chars, width)[ends[some] - width]
+            least[((at + some) << BUCKET_BITS) + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] = h << np.uint64(BUCKET_BITS)
         at = end
     filled = least != ~np.uint64(0)
     top = (least >> np.uint64(11)).astype(np.float64)
@@ -113,20 +122,24 @@ def sketch(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
 
 
 ORDER = np.argsort(np.random.default_rng(64).random((1 << BUCKET_BITS, 1 << BUCKET_BITS)), axis=1).astype(np.int16)
+#: By step, then by bucket.
+TURNS = ORDER.T.astype(np.int64)
 
 
 def filled(regs: np.ndarray) -> np.ndarray:
     """The first ROWS * BANDS registers of each line, where an empty one takes the first that isn't in its bucket's ORDER of buckets."""
-    out = regs[:, : ROWS * BANDS].copy()
-    line, bucket = np.nonzero(out == 0)
-    for step in range(regs.shape[1]):
-        if not len(line):
+    out = regs[:, : ROWS * BANDS].ravel()
+    spot = np.flatnonzero(out == 0)
+    line, bucket = np.divmod(spot, ROWS * BANDS)
+    start, regs = line * regs.shape[1], regs.ravel()
+    for turn in TURNS:
+        if not len(spot):
             break
-        found = regs[line, ORDER[bucket, step]]
-        full = found > 0
-        out[line[full], bucket[full]] = found[full]
-        line, bucket = line[~full], bucket[~full]
-    return out
+        found = regs[start + turn[bucket]]
+        out[spot] = found
+        empty = np.flatnonzero(found == 0)
+        spot, start, bucket = spot[empty], start[empty], bucket[empty]
+    return out.reshape(-1, ROWS * BANDS)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -139,23 +152,24 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 
 
 def packs(buckets: int, shingle: int):
-    """Texts to (part, home, kind, tags, lines): of bucket `home` the band keys' upper halves and the hashes of the lines that have them. Kind 0: of
+    """Texts to (part, home, kind, tags, lines): of bucket `home` the band keys' lower halves and the hashes of the lines that have them. Kind 0: of
     keys that few of the PACK have; 1: MOST of each other key; 2: the rest of those, dealt out."""
 
     def emit(keys, lines, salt):
-        order = np.lexsort((lines, keys))
+        order = np.argsort(keys)
         keys, lines = keys[order], lines[order]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])]
-        keys, lines = keys[new], lines[new]
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         counts = np.diff(edges)
-        rank = np.arange(len(keys)) - np.repeat(edges[:-1], counts)
-        kind = np.where(np.repeat(counts, counts) <= MOST, 0, np.where(rank < MOST, 1, 2))
-        home = (keys % np.uint64(buckets)).astype(np.int64)
-        tags = (keys >> np.uint64(32)).astype(np.uint32)
+        # homes ascend with the keys
+        home = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        tags = keys.astype(np.uint32)
+        kind = np.zeros(len(keys), np.int64)
+        if counts.max() > MOST:
+            rank = np.arange(len(keys)) - np.repeat(edges[:-1], counts)
+            kind = np.where(np.repeat(counts, counts) <= MOST, 0, np.where(rank < MOST, 1, 2))
+            order = np.argsort(home * 3 + kind, kind="stable")
+            home, kind, tags, lines = home[order], kind[order], tags[order], lines[order]
         group = home * 3 + kind
-        order = np.argsort(group, kind="stable")
-        group, home, kind, tags, lines = group[order], home[order], kind[order], tags[order], lines[order]
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
         first = edges[:-1]
         part = np.where(kind[first] == 2, buckets + np.int64(salt), home[first])
@@ -171,7 +185,7 @@ def packs(buckets: int, shingle: int):
             nonlocal fresh, hashes, size, held
             if fresh:
                 keys = band_keys(sketch(fresh, shingle))
-                parts.append((keys.ravel(), np.repeat(np.array(hashes, np.uint64), BANDS)))
+                parts.append((keys, np.array(hashes, np.uint64)))
                 held += keys.size
             fresh, hashes, size = [], [], 0
 
@@ -180,7 +194,9 @@ def packs(buckets: int, shingle: int):
             keys, lines = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
             held = 0
-            return emit(keys, lines, int(lines[0] & np.uint64(0xFFFFFF)))
+            salt = int(lines[0] & np.uint64(0xFFFFFF))
+            lines, once = np.unique(lines, return_index=True)
+            return emit(keys[once].ravel(), np.repeat(lines, BANDS), salt)
 
         for batch in batches:
             for at in range(0, len(batch), 64):
@@ -213,7 +229,6 @@ def gathered(group: pa.Table) -> pa.Table:
     kinds, homes = group["kind"].to_numpy(), group["home"].to_numpy()
     tags = [np.frombuffer(x, np.uint32) for x in group["tags"].to_pylist()]
     lines = [np.frombuffer(x, np.uint64) for x in group["lines"].to_pylist()]
-    of = lambda a, b: (np.concatenate([t.astype(np.int64) for t in a]), np.concatenate(b).view(np.int64))
     loose = [k for k, x in enumerate(kinds) if x == 2]
     bands, alone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in loose:
@@ -222,15 +237,20 @@ def gathered(group: pa.Table) -> pa.Table:
     own = [k for k, x in enumerate(kinds) if x != 2]
     values, offsets = np.zeros(0, np.int64), [0]
     if own:
-        tag, line = of([tags[k] for k in own], [lines[k] for k in own])
+        tag, line = np.concatenate([tags[k] for k in own]), np.concatenate([lines[k] for k in own]).view(np.int64)
         more = np.repeat(kinds[own] == 1, [len(tags[k]) for k in own])
+        # most keys have one line, which meets nothing
+        order = np.argsort(tag)
+        same = np.r_[False, tag[order[1:]] == tag[order[:-1]], False]
+        order = order[same[1:] | same[:-1]]
+        tag, line, more = tag[order].astype(np.int64), line[order], more[order]
         order = np.lexsort((line, tag))
         tag, line, more = tag[order], line[order], more[order]
-        edges = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1]])
-        hot = np.repeat(np.logical_or.reduceat(more, edges), np.diff(np.r_[edges, len(tag)]))
-        new = np.r_[True, (tag[1:] != tag[:-1]) | (line[1:] != line[:-1])]
+        edges = np.flatnonzero(np.r_[np.ones(min(1, len(tag)), bool), tag[1:] != tag[:-1]])
+        hot = np.repeat(np.logical_or.reduceat(more, edges), np.diff(np.r_[edges, len(tag)])) if len(tag) else more
+        new = np.r_[np.ones(min(1, len(tag)), bool), (tag[1:] != tag[:-1]) | (line[1:] != line[:-1])]
         tag, line, hot = tag[new], line[new], hot[new]
-        edges = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1], True])
+        edges = np.unique(np.r_[0, np.flatnonzero(tag[1:] != tag[:-1]) + 1, len(tag)])
         counts = np.diff(edges)
         loose = np.repeat(hot[edges[:-1]] | (counts > BLOCK), counts)
         bands.append(homes[own[0]] << 32 | tag[loose])
@@ -357,14 +377,21 @@ def judged_rows(docs: DataFrame, threshold: float, id_column: str, text_column:
     return rows.select("rid", "doc_id", "k1", "k2", F.size("h").alias("n_lines")).join(gone, "rid", "left")
 
 
+def joined(groups: DataFrame) -> DataFrame:
+    """The groups (nodes), each once; those that have their least node in common are one, if that has BLOCK nodes at most. A node is in one group a band
+    at most, so few meet, most of them in the same lines."""
+    by = groups.groupBy(F.col("nodes")[0].alias("least")).agg(F.collect_set("nodes").alias("sets"))
+    every = F.array_sort(F.array_distinct(F.flatten("sets")))
+    return by.select("sets", every.alias("every")).select(F.explode(F.when(F.size("every") <= BLOCK, F.array("every")).otherwise(F.col("sets"))).alias("nodes"))
+
+
 def line_classes(docs: DataFrame, total: int, threshold: float, text_column: str, shingle: int) -> DataFrame:
     """(node, comp): the lines, by their 64-bit hashes, that links connect, with the smallest of each component."""
     buckets = max(16, total * BANDS // COUNTED)
     texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     packed = texts.mapInArrow(packs(buckets, shingle), "part bigint, home bigint, kind int, tags binary, lines binary")
     found = stored(packed.groupBy("part").applyInArrow(gathered, "nodes array<bigint>, band bigint, node bigint"))
-    # of keys with the same lines one is looked at
-    groups = found.where("nodes is not null").select("nodes").distinct()
+    groups = joined(found.where("nodes is not null"))
     where = stored(groups.select(F.xxhash64("nodes").alias("cluster"), F.explode("nodes").alias("node"), F.lit(1).alias("blocks"), F.lit(0).alias("block")))
     hot = stored(found.where("band is not null").select(F.xxhash64("band", F.lit(1)).alias("cluster"), "node").distinct())
     if hot.take(1):

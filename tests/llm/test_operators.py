@@ -696,3 +696,22 @@ def test_lines_of_a_hot_key(spark, monkeypatch):
     assert sorted((r.doc_id, r.line) for r in got) == [(i, 0) for i in range(1, 60)]
     again = op7_lines.fuzzy_lines(frame(spark, docs + docs[:5]), shingle=5)
     assert again.count() == 130 and again.where("not kept").count() == 59 + 10
+
+
+def test_lines_meet_once(spark, monkeypatch):
+    """Lines that share several band keys are searched in one group for each least line, not in one for each key; groups that would grow too large stay apart."""
+    wheres, search = [], op7_lines.search_clusters
+    monkeypatch.setattr(op7_lines, "search_clusters", lambda where, get, task: (wheres.append(where.collect()), search(where, get, task))[1])
+    rng = random.Random(72)
+    base = "".join(rng.choice("abcdefghij klmno") for _ in range(200))
+    docs = [(i, base[: 20 * i] + "#" + base[20 * i + 1 :], "a") for i in range(9)]
+    got = op7_lines.fuzzy_lines(frame(spark, docs), shingle=5).where("not kept").collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 9))
+    clusters = collections.defaultdict(set)
+    for r in wheres[0]:
+        clusters[r.cluster].add(r.node)
+    assert len({min(x) for x in clusters.values()}) == len(clusters)
+
+    monkeypatch.setattr(op7_lines, "BLOCK", 3)
+    groups = spark.createDataFrame([([1, 2],), ([1, 3],), ([1, 4, 5],), ([1, 2],), ([2, 3],), ([7, 8],), ([7, 9],)], "nodes array<bigint>")
+    assert sorted(r.nodes for r in op7_lines.joined(groups).collect()) == [[1, 2], [1, 3], [1, 4, 5], [2, 3], [7, 8, 9]]
